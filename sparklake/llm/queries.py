@@ -1,9 +1,13 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
+from .media import op7_media_columns
 from .ngram_join import op3_ngram_jaccard_join
+from .sentencepiece_bpe import op6_sentencepiece
 
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_media_columns": op7_media_columns,
 }
 
 ORACLES: dict[str, str] = {}
