@@ -15,6 +15,8 @@ _powers = np.ones(1, U)
 SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 #: Words by letters and digits: ASCII that is neither ends a word; bytes of other scripts don't.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: With MARKS these end words too: the UTF-8 of U+00A0 to U+00BF, U+2000 to U+207F and U+3000 to U+303F.
+PUNCTUATION = ((0xC2, (0xA0, 0xBF)), (0xE2, (0x80, 0x81)), (0xE3, (0x80, 0x80)))
 #: A-Z to a-z, all else as it is.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -49,6 +51,13 @@ def words(strings: pa.Array, ends: np.ndarray = SPACES) -> tuple[np.ndarray, np.
     if not len(data):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~ends[data]
+    if ends is MARKS:
+        for lead, second in PUNCTUATION:
+            at = np.flatnonzero(data == lead)
+            at = at[at + 1 < len(data)]
+            at = at[(data[at + 1] >= second[0]) & (data[at + 1] <= second[1])]
+            for j in range(2 if lead < 0xE0 else 3):
+                inside[np.minimum(at + j, len(data) - 1)] = False
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts_row = offsets[:-1][offsets[:-1] < len(data)]
