@@ -2,8 +2,10 @@
 
 from .chat import OP5_SQL, op5_chat_formatting
 from .decontamination import op1_decontamination
+from .html_text import op4_html_extraction
 from .media import op7_media_columns
 from .ngram_join import op3_ngram_jaccard_join
+from .pii import op9_pii
 from .sentencepiece_bpe import op6_sentencepiece
 from .sharding import op2_sharding
 from .toxicity import op8_toxicity
@@ -12,12 +14,15 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_html_extraction": op4_html_extraction,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_media_columns": op7_media_columns,
     "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_html_extraction": op4_html_extraction,
     "op5_chat_formatting": OP5_SQL,
 }
