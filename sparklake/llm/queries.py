@@ -6,6 +6,7 @@ from .html_text import op4_html_extraction
 from .media import op7_media_columns
 from .ngram_join import op3_ngram_jaccard_join
 from .pii import op9_pii
+from .secrets import op10_secret_scan
 from .sentencepiece_bpe import op6_sentencepiece
 from .sharding import op2_sharding
 from .toxicity import op8_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_media_columns": op7_media_columns,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
