@@ -23,15 +23,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df computed and kept in the cluster's shared checkpoint folder, so that lost executors don't matter.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is made only where that is unset.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, a temporary one only if unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df computed and kept in the shared folder, so that lost executors don't matter and nothing is computed twice."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -72,3 +74,30 @@ def free_name(df: DataFrame, name: str) -> str:
 def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, under fixed names, whatever else df holds."""
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+#: Bits of the filter in parted(): a power of two. 64 bits are a row, so it is 2^18 rows of 16 bytes, 4 MB, at any input.
+FILTER_BITS = 1 << 24
+
+
+def parted(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in ids(id), rows whose id surely isn't), so that only the former need a join's shuffle.
+
+    The ids set bits of a filter of fixed size, which is broadcast; however many ids there are it only gets less
+    selective. Null ids are surely not in it.
+    """
+    spot = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(FILTER_BITS))
+    bits = ids.where("id IS NOT NULL").select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("_bits"))
+    own, word, set_bits = (free_name(df, n) for n in ("_spot", "_word", "_bits"))
+    bits = bits.select(F.col("_word").alias(word), F.col("_bits").alias(set_bits))
+    marked = df.withColumn(own, F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long")), F.lit(FILTER_BITS)))
+    marked = marked.join(F.broadcast(bits), (F.shiftright(own, 6) == F.col(word)) & F.col(f"`{id_col}`").isNotNull(), "left")
+    hit = F.coalesce(F.expr(f"shiftright(`{set_bits}`, CAST(`{own}` & 63 AS INT)) & 1L"), F.lit(0).cast("long")) == 1
+    return tuple(marked.where(c).drop(own, word, set_bits) for c in (hit, ~hit))
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is not in ids(id); null ids stay. ids is computed twice: hand in a durable one."""
+    may, sure = parted(df, id_col, ids)
+    key = free_name(df, "_gone")
+    return sure.unionByName(may.join(ids.select(F.col("id").alias(key)).distinct(), F.col(f"`{id_col}`") == F.col(key), "left_anti"))

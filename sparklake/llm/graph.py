@@ -11,24 +11,23 @@ from .common import durable
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(u, v): component is the smallest node that is reachable.
 
-    Alternates the large-star and small-star steps (Kiveris et al., SoCC 2014) until the edges stay as they are;
-    each round is two joins on node ids, whose skew Spark can split, and the number of rounds is logarithmic.
+    Alternates the large-star and small-star steps (Kiveris et al., SoCC 2014) until the edges are stars; each round is
+    two joins on node ids, whose skew Spark can split, and the number of rounds is logarithmic.
     No edges give no rows; repeated edges, self loops and nulls change nothing.
     """
-    e = durable(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    before = None
-    while True:
+    e = durable(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        # v > u gets the least neighbour m of u; m <= u < v, so these edges point down again
+        down = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
+        # the least neighbour itself keeps the edge, the others are tied to it
+        e = durable(down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of e(u, v), u > v, has either one edge down and none up or only edges up."""
+    roles = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return roles.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1").isEmpty()

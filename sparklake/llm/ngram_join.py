@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, pick, slices, texts
+from .common import bounded_batches, durable, parted, pick, slices, texts, without
 from .graph import components
 from .hashing import U, mix, sets
 
 #: Sizes [BOUNDS[b], BOUNDS[b + 1]) are class b.
 BOUNDS = np.unique(np.ceil(1.5 ** np.arange(0, 105)).astype(np.int64))
-BLOCK_WEIGHT, LEAST_WEIGHT, CELLS = 1 << 19, 256, 1 << 22
+#: N-grams of a block, and what a set counts for at least; rows of a tile; cells of a dense column block;
+#: rows up to which an n-gram's pairs of rows are enumerated.
+BLOCK_WEIGHT, LEAST_WEIGHT, ROWS, CELLS, FEW = 1 << 21, 512, 1 << 9, 1 << 22, 8
 
 
 def most_different(size: int | np.ndarray, percent: int):
@@ -99,61 +101,87 @@ def _signed(k: int, percent: int):
     return run
 
 
+GRAMS = "cluster long, i long, j long, node long, grams binary"
+
+
 def _grams(k: int):
+    """A row for each pair of blocks that a document is in, with the document's n-grams."""
+
     def run(batches):
         for batch in batches:
+            work = batch.column(2)
             for first, some in slices(texts(batch.column(1))):
                 gram, row = sets(some, k)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)) * 8)]).astype(np.int32)
                 data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(gram))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)).cast(pa.int64()), data], names=["node", "grams"])
+                own = work.slice(first, len(some))
+                pairs, who = own.flatten(), np.repeat(np.arange(len(some)), own.value_lengths().to_numpy())
+                columns = [pairs.field(x).cast(pa.int64()) for x in range(3)]
+                for at in range(0, len(who), 256):  # a document may be in many pairs
+                    take = pa.array(who[at : at + 256])
+                    yield pa.RecordBatch.from_arrays([c.slice(at, 256) for c in columns] + [batch.column(0).slice(first, len(some)).take(take).cast(pa.int64()), data.take(take)], names=["cluster", "i", "j", "node", "grams"])
 
     return run
 
 
-def linked(grams: list[np.ndarray], percent: int) -> np.ndarray:
-    """The n x n truth of 100 * intersection >= percent * union, for sorted sets of distinct 64-bit n-grams.
+def links(grams: list[np.ndarray], percent: int):
+    """(u, vs) of every row u: the later rows vs with 100 * intersection >= percent * union.
 
-    The incidence matrix is cut into column blocks of at most CELLS cells; each block's product with its transpose
-    adds to the counts of overlaps (32-bit floats: exact below 2^24, far over any set's size here).
+    grams are sorted sets of distinct 64-bit n-grams. The incidence matrix is cut into tiles of ROWS rows; a tile's product
+    with the transpose is summed over column blocks of at most CELLS cells, which hold only n-grams that the tile has and
+    that more than FEW rows share; n-grams of few rows add one to each pair of their rows, found by enumeration. The counts
+    are 32-bit floats, exact below 2^24.
     """
-    n = len(grams)
-    size = np.array([len(g) for g in grams])
+    n, size = len(grams), np.array([len(g) for g in grams])
     if n == 2:
         i = len(np.intersect1d(grams[0], grams[1], assume_unique=True))
-        ok = bool(size.min() and 100 * i >= percent * (size.sum() - i))
-        return np.array([[True, ok], [ok, True]])
-    row = np.repeat(np.arange(n), size)
+        if size.min() and 100 * i >= percent * (size.sum() - i):
+            yield 0, np.array([1])
+        return
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
     _, column, many = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    shared = np.cumsum(many > 1) - 1
     keep = many[column] > 1
-    row, column = row[keep], shared[column[keep]]
+    row, column = row[keep], (np.cumsum(many > 1, dtype=np.int32) - 1)[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    overlap = np.zeros((n, n), np.float64)
+    begin = np.searchsorted(column, np.arange((column[-1] if len(column) else -1) + 2))
+    degree = np.diff(begin)
+    pairs = [np.zeros(0, np.int64)]
+    for d in range(2, FEW + 1):
+        of = row[begin[:-1][degree == d][:, None] + np.arange(d)]
+        pairs += [of[:, x].astype(np.int64) * n + of[:, y] for x in range(d) for y in range(x + 1, d)]
+    pairs = np.sort(np.concatenate(pairs))
+    keep = degree[column] > FEW
+    dense_row, dense_column = row[keep], column[keep]
     wide = max(1, CELLS // n)
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
-        lo, hi = np.searchsorted(column, [c, c + wide])
-        block = np.zeros((n, wide), np.float32)
-        block[row[lo:hi], column[lo:hi] - c] = 1
-        overlap += block @ block.T
-    union = size[:, None] + size[None, :] - overlap
-    return (100 * overlap >= percent * union) & (size[:, None] > 0) & (size[None, :] > 0)
-
-
-def forest(link: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph with this adjacency matrix."""
-    free, edges = np.ones(len(link), bool), []
-    for root in range(len(link)):
-        if not free[root]:
-            continue
-        free[root], todo = False, [root]
-        while todo:
-            u = todo.pop()
-            for v in np.flatnonzero(link[u] & free):
-                free[v] = False
-                todo.append(v)
-                edges.append((u, int(v)))
+    for a in range(0, n, ROWS):
+        b = min(a + ROWS, n)
+        overlap = np.zeros((b - a, n - a), np.float32)
+        some = pairs[np.searchsorted(pairs, a * n) : np.searchsorted(pairs, b * n)]
+        np.add.at(overlap, (some // n - a, some % n - a), np.float32(1))
+        own = np.unique(dense_column[(dense_row >= a) & (dense_row < b)])
+        for c in range(0, len(own), wide):
+            some = own[c : c + wide]
+            count = begin[some + 1] - begin[some]
+            at = np.arange(count.sum()) + np.repeat(begin[some] - (np.cumsum(count) - count), count)
+            r, k = row[at] - a, np.repeat(np.arange(len(some)), count)
+            block = np.zeros((n - a, len(some)), np.float32)
+            block[r[r >= 0], k[r >= 0]] = 1
+            overlap += block[: b - a] @ block.T
+        union = size[a:b, None] + size[None, a:] - overlap
+        link = 100 * overlap.astype(np.float64) >= percent * union.astype(np.float64)
+        link &= (size[a:b, None] > 0) & (size[None, a:] > 0)
+        for u in range(b - a):
+            yield a + u, np.flatnonzero(link[u, u + 1 :]) + a + u + 1
+
+
+def forest(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links."""
+    label, edges = np.arange(len(grams)), []
+    for u, vs in links(grams, percent):
+        while len(vs := vs[label[vs] != label[u]]):
+            edges.append((u, int(vs[0])))
+            label[label == label[vs[0]]] = label[u]
     return edges
 
 
@@ -163,7 +191,7 @@ def _multiply(percent: int):
     def out(key, ids, grams):
         if len(ids) < 2:
             return []
-        return [(ids[u], ids[v]) for u, v in forest(linked(grams, percent))]
+        return [(ids[u], ids[v]) for u, v in forest(grams, percent)]
 
     def run(batches):
         key, ids, grams = None, [], []
@@ -195,10 +223,9 @@ def blocks(member: DataFrame, percent: int) -> DataFrame:
     a, b = span.alias("a"), span.alias("b")
     near = (F.col("a.block") <= F.col("b.block")) & (F.col("a.most") * 100 >= F.col("b.least") * percent)
     pair = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & near).select(F.col("a.cluster").alias("cluster"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
-    last = pair.groupBy("cluster").agg(F.max("j").alias("last"))
-    # a pair of different blocks also covers the pairs inside each, so blocks alone are needed only where there's one
-    pair = pair.join(last, "cluster").where("i < j OR last = 0 OR NOT (i > 0 OR last > i)").select("cluster", "i", "j").unionByName(pair.join(last, "cluster").where("i = j AND last > 0").select("cluster", "i", "j")).distinct()
+    # a pair of two blocks also covers the pairs inside each, so a block stands alone only if it is near no other
     sides = pair.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    sides = sides.withColumn("pairs", F.count("*").over(Window.partitionBy("cluster", "block"))).where("i < j OR pairs = 1")
     return cut.join(sides, ["cluster", "block"]).select("node", "cluster", "i", "j")
 
 
@@ -219,19 +246,26 @@ def ngram_jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col:
     member = durable(member)
     key = signed.where("id IS NOT NULL").select("id", F.explode("parts").alias("key"))
     met = key.withColumn("hub", F.min("id").over(Window.partitionBy("key"))).where("id <> hub").select("id", "hub").distinct()
-    rep = member.where("id IS NOT NULL").select("id", "rep").distinct()
+    rep = member.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("rep"))
     edges = met.join(rep, "id").select("hub", F.col("rep").alias("u")).join(rep.withColumnRenamed("id", "hub"), "hub").select("u", F.col("rep").alias("v"))
     cluster = components(edges)
-    node = cluster.join(member.where("id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node").select("node", F.col("component").alias("cluster"), "n")
+    node = cluster.join(member.where("id = rep").groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node").select("node", F.col("component").alias("cluster"), "n")
     node = durable(node)
-    whole = docs.join(node.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    grams = whole.mapInArrow(_grams(k), "node long, grams binary")
-    work = blocks(node, percent).join(grams, "node").select("cluster", "i", "j", "node", "grams")
-    work = work.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    work = blocks(node, percent).groupBy(F.col("node").alias("id")).agg(F.collect_list(F.struct("cluster", "i", "j")).alias("work"))
+    whole = parted(docs, "id", node.select(F.col("node").alias("id")))[0].join(work, "id").dropDuplicates(["id"]).select("id", "text", "work")
+    work = whole.mapInArrow(_grams(k), GRAMS).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     reached = components(work.mapInArrow(_multiply(percent), "u long, v long"))
     return member.join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "n", "rep", F.coalesce("component", "rep").alias("component"))
 
 
+def first_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of documents, all columns, whose id is the smallest of its group of ngram_jaccard_groups.
+
+    Rows without a set are groups of their own; rows with a null id stay; rows that share an id stay or go together."""
+    groups = ngram_jaccard_groups(documents, id_col, text_col, k, percent)
+    return without(documents, id_col, durable(groups.where("id <> component").select("id").distinct()))
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
     from .common import table
 
