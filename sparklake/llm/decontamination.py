@@ -207,6 +207,28 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
+def without_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """The rows of documents, all columns, for which find_leaks() has no row."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    at = documents.columns.index(text_col)
+
+    def keep(shared):
+        def run(batches):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for first, some in slices(texts(batch.column(at))):
+                    for row, *_ in shared.value.leaks(some, coverage):
+                        clean[first + row] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for items in item_blocks(benchmark, item_col, item_text_col):
+        documents = documents.mapInArrow(keep(spark.sparkContext.broadcast(items)), documents.schema)
+    return documents
+
+
 def op1_decontamination(spark, sf_dir):
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.withColumnRenamed("id", "doc_id")

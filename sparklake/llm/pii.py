@@ -237,6 +237,12 @@ def _choose(weights: np.ndarray):
     return run
 
 
+def learn(found: DataFrame) -> np.ndarray:
+    """train() on the candidates of all rows, counted by pattern: a few thousand counts at most, whatever the input."""
+    each = found.select(F.explode("spans").alias("s"))
+    return train([tuple(r) for r in each.groupBy("s.kind", "s.votes", "s.length").agg(F.count("*").alias("many")).orderBy("kind", "votes", "length").collect()])
+
+
 def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) of every row: the kind, start and end (code points, end exclusive) of each span, and whether a base
     pattern found it; by kind in the order of KINDS, then by start.
@@ -246,9 +252,7 @@ def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """
     bounded_batches(documents.sparkSession)
     found = durable(pick(documents, id_col, text_col).mapInArrow(_find, FOUND))
-    each = found.select(F.explode("spans").alias("s"))
-    counts = each.groupBy("s.kind", "s.votes", "s.length").agg(F.count("*").alias("many")).orderBy("kind", "votes", "length").collect()
-    return found.mapInArrow(_choose(train([tuple(r) for r in counts])), CHOSEN)
+    return found.mapInArrow(_choose(learn(found)), CHOSEN)
 
 
 def _masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -271,9 +275,8 @@ def masked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are masked where they are scanned, with what find_personal_data would learn from the same rows."""
     bounded_batches(documents.sparkSession)
-    found = durable(pick(documents, id_col, text_col).mapInArrow(_find, FOUND))
-    counts = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.length").agg(F.count("*").alias("many")).orderBy("kind", "votes", "length").collect()
-    choose, names = _choose(train([tuple(r) for r in counts])), documents.columns
+    weights = learn(pick(documents, id_col, text_col).mapInArrow(_find, FOUND))
+    choose, names = _choose(weights), documents.columns
     at = names.index(text_col)
 
     def run(batches):
