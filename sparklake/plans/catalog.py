@@ -417,7 +417,7 @@ def fn_json(spark, sf_dir):
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
 def pivot_types(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
-    return e.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("*")).na.fill(0)
+    return e.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("event_id")).na.fill(0)
 
 
 @query("SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS x FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")

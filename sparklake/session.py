@@ -36,6 +36,7 @@ def session(settings: Settings | None = None, app: str = "sparklake", master: st
 
 
 def harden(spark: SparkSession) -> None:
-    """No files named in SQL text, also in sessions that spark.newSession() makes."""
+    """No files named in SQL text, UTC, and timestamps with statistics; also for sessions that spark.newSession() makes."""
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")

@@ -5,11 +5,16 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..errors import EngineCapabilityError, SchemaMismatchError
 from ..schema import COLUMNS, EVENT_ARROW, EVENT_SCHEMA, same_arrow
 
 
+#: The event schema for files of others, whose columns have names but no field ids.
+NAMED = StructType([StructField(f.name, f.dataType, f.nullable) for f in EVENT_SCHEMA])
+
+
 def ndjson(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, raw): the lines of text files. line_no counts a file's non-blank lines, split by split, so it is null
     where files are split; a blank line is no line."""
@@ -52,12 +57,12 @@ def arrow_stream(spark: SparkSession, source) -> DataFrame:
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
     """Event columns of CSV files with a header; an empty payload is null."""
-    return spark.read.csv(path, header=True, schema=EVENT_SCHEMA, quote='"', escape='"').select(*COLUMNS)
+    return spark.read.csv(path, header=True, schema=NAMED, quote='"', escape='"').select(*COLUMNS)
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:
     """Event columns of Parquet files, a folder or a glob."""
-    return spark.read.schema(EVENT_SCHEMA).parquet(path)
+    return spark.read.schema(NAMED).parquet(path)
 
 
 def generate(spark: SparkSession, rows: int, seed: int = 20260930, partitions: int | None = None) -> DataFrame:
