@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, pick, table, texts
 from .hashing import U, mix, sets
+from .learning import logistic, sigmoid
 
 #: Labelled documents of either kind that are learnt from at most, the first by a hash of the id.
-MOST_TOXIC, MOST_ORDINARY = 1_500, 4_500
+MOST_TOXIC, MOST_ORDINARY = 1_200, 3_600
 #: Lengths of the character runs that may mark toxic text; bytes of the two dictionaries.
 RUNS, TOXIC_BYTES, ORDINARY_BYTES = (4, 5, 6, 7, 8), 8_192, 16_384
 #: How much likelier, and by how many standard errors, a run must be in toxic documents to mark them.
@@ -32,7 +33,7 @@ THRESHOLDS = (2, 3)
 #: zstandard begins no match in a block's last 8 bytes, so a tail follows the window.
 FRAME, TAIL = b"\x00#frame-of-a-window-0123456789#", bytes(range(128, 136))
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 300_000
 
 
 def windows(text: str) -> list[str]:
@@ -40,35 +41,36 @@ def windows(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _runs(window: str) -> set[str]:
+def _runs(window: str, lengths: tuple[int, ...] = RUNS) -> set[str]:
     w = f" {window} "
-    return {w[i : i + k] for k in RUNS for i in range(len(w) - k + 1)}
-
-
-def marks(toxic: list[set[str]], ordinary: list[set[str]]) -> set[str]:
-    """The character runs that far more toxic than ordinary documents have; each document is its set of windows."""
-
-    def counted(docs, known):
-        total: Counter[str] = Counter()
-        for words in docs:
+    return {w[i : i + k] for k in lengths for i in range(len(w) - k + 1)}
+
+
+def marks(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """The character runs that far more toxic than ordinary documents have.
+
+    One length is counted after the other, and only runs of three toxic documents or more are looked for in the ordinary
+    ones, so that the driver holds a few hundred thousand counts at most for the documents that learn() takes."""
+    least, found = max(3, len(toxic) // 500), set()
+    for k in RUNS:
+        own: Counter[str] = Counter()
+        for t in toxic:
+            own.update(set().union(*(_runs(w, (k,)) for w in set(windows(t)))))
+        own = Counter({g: c for g, c in own.items() if c >= least})
+        other: Counter[str] = Counter()
+        known: dict[str, tuple[str, ...]] = {}
+        for t in ordinary:
             got: set[str] = set()
-            for w in words:
-                got |= known(w)
-            total.update(got)
-        return total
-
-    memo: dict[str, set[str]] = {}
-    own = counted(toxic, lambda w: memo[w] if w in memo else memo.setdefault(w, _runs(w)))
-    least = max(3, len(toxic) // 500)
-    candidate = {g for g, c in own.items() if c >= least}
-    memo.clear()
-    other = counted(ordinary, lambda w: memo[w] if w in memo else memo.setdefault(w, _runs(w) & candidate))
-    found = set()
-    for g in candidate:
-        a, b = own[g] + 0.5, other[g] + 0.5
-        gap = np.log(a / (len(toxic) + 1)) - np.log(b / (len(ordinary) + 1))
-        if gap >= np.log(RATIO) and gap >= SIGMAS * np.sqrt(1 / a + 1 / b):
-            found.add(g)
+            for w in set(windows(t)):
+                if (some := known.get(w)) is None:
+                    some = known[w] = tuple(g for g in _runs(w, (k,)) if g in own)
+                got.update(some)
+            other.update(got)
+        for g, c in own.items():
+            a, b = c + 0.5, other[g] + 0.5
+            gap = np.log(a / (len(toxic) + 1)) - np.log(b / (len(ordinary) + 1))
+            if gap >= np.log(RATIO) and gap >= SIGMAS * np.sqrt(1 / a + 1 / b):
+                found.add(g)
     return found
 
 
@@ -141,31 +143,17 @@ class Distance:
         return [np.log1p(low), np.log1p(high), 30 * low / total, 30 * high / total, most / 4]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Weights, the constant last, of a logistic regression with a ridge, by Newton's method."""
-    x = np.c_[x, np.ones(len(x))]
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    keep[-1] = 1e-3
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def fit(toxic: list[str], ordinary: list[str]) -> dict:
     """What scoring needs: the two dictionaries and the weights. Without toxic or ordinary texts all score 0."""
     import zstandard
 
     if not toxic or not ordinary:
         return {"ordinary": b"", "toxic": b"", "weights": [0.0] * 5 + [-30.0]}
-    bad, good = [windows(t) for t in fresh(toxic)], [windows(t) for t in fresh(ordinary)]
-    mark = marks([set(w) for w in bad], [set(w) for w in good])
+    bad, good = fresh(toxic), fresh(ordinary)
+    mark = marks(bad, good)
     weight: Counter[str] = Counter()
-    for words in bad:
-        weight.update(set(segments(words, mark)))
+    for t in bad:
+        weight.update(set(segments(windows(t), mark)))
     # the heaviest segments go last, nearest to the window; those inside a kept one add nothing
     chosen, size, known = [], 0, ""
     for s, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
@@ -173,14 +161,15 @@ def fit(toxic: list[str], ordinary: list[str]) -> dict:
             chosen.append(s)
             known += "\0" + s
             size += len(s.encode())
-    runs = [" ".join(w[i : i + 8]).encode() for w in good for i in range(0, len(w), 8)][:300_000]
+    runs = [" ".join(w[i : i + 8]).encode() for w in map(windows, good) for i in range(0, len(w), 8)]
     try:
         plain = zstandard.train_dictionary(ORDINARY_BYTES, runs).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         plain = b" ".join(runs)[:ORDINARY_BYTES]
     model = {"ordinary": plain, "toxic": "".join(reversed(chosen)).encode()}
     far = Distance(model["ordinary"], model["toxic"])
-    x = np.array([far.features(w) for w in bad + good])
+    del runs
+    x = np.array([far.features(windows(t)) for t in bad + good])
     return model | {"weights": logistic(x, np.r_[np.ones(len(bad)), np.zeros(len(good))]).tolist()}
 
 
@@ -204,7 +193,7 @@ def _score(shared):
         far, w = Distance(model["ordinary"], model["toxic"]), np.array(model["weights"])
         for batch in batches:
             x = np.array([far.features(windows(t)) for t in texts(batch.column(1)).to_pylist()]).reshape(-1, 5)
-            score = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ w, -30, 30)))
+            score = sigmoid(np.c_[x, np.ones(len(x))] @ w)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score)], names=["id", "score"])
 
     return run
@@ -221,6 +210,22 @@ def score(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     return pick(documents, id_col, text_col).mapInArrow(_score(spark.sparkContext.broadcast(model)), "id long, score double")
 
 
+def without_toxic(documents: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of documents, all columns, that score() gives less than threshold."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    run, at = _score(spark.sparkContext.broadcast(model)), documents.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            column = batch.column(at)
+            one = pa.RecordBatch.from_arrays([pa.array(range(len(column)), pa.int64()), column], names=["id", "text"])
+            low = np.concatenate([b.column(1).to_numpy() for b in run([one])]) < threshold if len(column) else np.zeros(0, bool)
+            yield batch.filter(pa.array(low))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def op8_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     scored = score(documents, learn(documents, table(spark, sf_dir, "labels")))
