@@ -4,18 +4,26 @@ The overlap counts are a blocked sparse matrix product of the document by n-gram
 that cannot hold a linked pair are never multiplied, by two bounds that follow from the sizes of the sets:
 
 * Two sets with Jaccard >= t differ in at most d = (1 - t) / (1 + t) * (|x| + |y|) n-grams. So if the n-grams are
-  dealt by hash into d + 1 parts, one part at least is the same in both. Documents meet only through an equal part;
-  d is fixed for each class of sizes, and a document near the upper end of its class is dealt for the next one too.
+  dealt by hash into parts, at most d parts differ. Documents meet only through an equal part of a least weight: a
+  document that has more such parts than the d of any partner shares one with each of its partners. The few documents
+  that don't are dealt into d + 1 parts as well and meet one another through any equal part of these. The number of
+  parts is fixed for each class of sizes; a document near the upper end of its class is dealt for the next one too.
 * |x| >= t * |y| for |x| <= |y|: blocks are cut by size, and blocks too far apart in size are not paired.
 
+* Every n-gram flips one bit of its document's parity sketch (two to four bits an n-gram). The bits in which two
+  sketches differ are no more than the n-grams in which the sets differ, so too many of them rule a pair out.
+
 Equal sets are one row of the matrix. Documents that meet are tied to the smallest id of their part, not to one
 another, so the candidate edges grow with the documents and not with the square of a group; the groups that these
 edges make are cut into blocks of bounded weight, each pair of blocks is a task's work, and only a spanning forest of
-the links that it finds leaves the task.
+what it finds leaves the task. This is done twice: with the sketches, a thirtieth of the n-grams, which breaks the
+groups up into those that nearly surely hold links, and then with the n-grams of these.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,21 +45,37 @@ def most_different(size: int | np.ndarray, percent: int):
     return 2 * size * (100 - percent) // (100 + percent)
 
 
+#: Parts for each n-gram that the largest sets of a class can differ in.
+SPREAD = 1.65
+
+
+def least_weight(percent: int) -> int:
+    """The n-grams that a part must have, so that a set in any place of its class is likely to have a tenth more of such
+    parts than it may differ in; 0 if no weight will do."""
+    share, any_partner = SPREAD * 2 * (100 - percent) / (100 + percent), (100 - percent) / percent
+
+    def enough(w: int) -> bool:
+        for c in (0.67, 0.8, 1.0):
+            mean = c / share
+            below = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(w))
+            if share * (1 - below) < 1.1 * any_partner * c:
+                return False
+        return True
+
+    w = 0
+    while w < 20 and enough(w + 1):
+        w += 1
+    return w
+
+
 def parts(gram: np.ndarray, row: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of every part of every row's set; gram by row and then by hash, size the sets' sizes by row."""
-    keys, rows = [], []
+    """(key, row) of the parts through which every row's set meets others; gram by row and then by hash."""
+    keys, rows, weight = [], [], least_weight(percent)
     cls = np.searchsorted(BOUNDS, np.maximum(size, 1), "right") - 1
     begin = np.concatenate([[0], np.cumsum(size)])
-    for step in (0, 1):
-        most = BOUNDS[cls + step + 1] - 1
-        m = most_different(most, percent) + 1
-        use = (size > 0) & (m > 1)
-        if step:
-            use &= size * 100 >= percent * BOUNDS[cls + 1]
-        who = np.flatnonzero(use)
-        if not len(who):
-            continue
-        count = m[who]
+
+    def deal(who: np.ndarray, step: int, count: np.ndarray, salt: int):
+        """(key, weight, place in who) of all parts of the rows who, dealt into count parts."""
         base = np.concatenate([[0], np.cumsum(count)])
         n = size[who]
         at = np.arange(n.sum()) + np.repeat(begin[who] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
@@ -59,12 +83,35 @@ def parts(gram: np.ndarray, row: np.ndarray, size: np.ndarray, percent: int) ->
         part = ((g >> U(32)) * np.repeat(count, n).astype(U)) >> U(32)
         slot = part.astype(np.int64) + np.repeat(base[:-1], n)
         head = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        total = np.zeros(base[-1], U)
+        total, heavy = np.zeros(base[-1], U), np.zeros(base[-1], np.int64)
         total[slot[head]] = np.add.reduceat(mix(g ^ U(0x5851F42D4C957F2D)), head)
+        heavy[slot[head]] = np.diff(np.append(head, len(slot)))
         owner = np.repeat(np.arange(len(who)), count)
         number = np.arange(base[-1]) - base[:-1][owner]
-        keys.append(mix(total ^ mix(number.astype(U) * U(2654435761) + (cls[who] + step).astype(U)[owner] * U(0x632BE59BD9B4E019))))
-        rows.append(who[owner])
+        place = number.astype(U) * U(2654435761) + (2 * (cls[who] + step) + salt).astype(U)[owner] * U(0x632BE59BD9B4E019)
+        return mix(total ^ mix(place)), heavy, owner
+
+    for step in range(len(BOUNDS)):
+        if step and not (size * 100 >= percent * BOUNDS[np.minimum(cls + step, len(BOUNDS) - 1)]).any():
+            break
+        differ = most_different(BOUNDS[cls + step + 1] - 1, percent)
+        use = (size > 0) & (differ > 0)
+        if step:
+            use &= size * 100 >= percent * BOUNDS[cls + step]
+        who = np.flatnonzero(use)
+        if not len(who):
+            continue
+        weak = np.ones(len(who), bool)
+        if weight:
+            key, heavy, owner = deal(who, step, (differ[who] * SPREAD).astype(np.int64) + 1, 0)
+            strong = heavy >= weight
+            keys.append(key[strong])
+            rows.append(who[owner[strong]])
+            weak = np.bincount(owner[strong], minlength=len(who)) <= size[who] * (100 - percent) // percent
+        if weak.any():
+            key, _, owner = deal(who[weak], step, differ[who[weak]] + 1, 1)
+            keys.append(key)
+            rows.append(who[weak][owner])
     if not keys:
         return np.zeros(0, U), np.zeros(0, np.int64)
     k, r = np.concatenate(keys), np.concatenate(rows)
@@ -72,7 +119,18 @@ def parts(gram: np.ndarray, row: np.ndarray, size: np.ndarray, percent: int) ->
     return k[order], r[order]
 
 
-SIGNED = "id long, n long, h1 long, h2 long, parts array<long>"
+def parities(gram: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each row's parity sketch: of 64 bits at least, of the power of two that is twice the set's size or more."""
+    count = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(2 * size, 1) / 64)).clip(0).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(count)])
+    spot = mix(gram ^ U(0x2545F4914F6CDD1D))
+    words = np.zeros(base[-1], U)
+    # the word by the upper bits, the bit by the lower ones: folding words together keeps every n-gram's bit
+    np.bitwise_xor.at(words, base[:-1][row] + ((spot >> U(6)) & (count[row] - 1).astype(U)).astype(np.int64), U(1) << (spot & U(63)))
+    return [words[a:b].tobytes() for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+SIGNED = "id long, n long, h1 long, h2 long, parts array<long>, parity binary"
 
 
 def _signed(k: int, percent: int):
@@ -94,14 +152,14 @@ def _signed(k: int, percent: int):
                 key, of = key[keep], of[keep]
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(some)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(some)).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))],
-                    names=["id", "n", "h1", "h2", "parts"],
+                    [batch.column(0).slice(first, len(some)).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64))), pa.array(parities(gram, row, size), pa.binary())],
+                    names=["id", "n", "h1", "h2", "parts", "parity"],
                 )
 
     return run
 
 
-GRAMS = "cluster long, i long, j long, node long, grams binary"
+GRAMS = "cluster long, i long, j long, node long, n long, data binary"
 
 
 def _grams(k: int):
@@ -113,13 +171,14 @@ def _grams(k: int):
             for first, some in slices(texts(batch.column(1))):
                 gram, row = sets(some, k)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)) * 8)]).astype(np.int32)
+                count = pa.array(np.bincount(row, minlength=len(some)).astype(np.int64))
                 data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(gram))])
                 own = work.slice(first, len(some))
                 pairs, who = own.flatten(), np.repeat(np.arange(len(some)), own.value_lengths().to_numpy())
                 columns = [pairs.field(x).cast(pa.int64()) for x in range(3)]
                 for at in range(0, len(who), 256):  # a document may be in many pairs
                     take = pa.array(who[at : at + 256])
-                    yield pa.RecordBatch.from_arrays([c.slice(at, 256) for c in columns] + [batch.column(0).slice(first, len(some)).take(take).cast(pa.int64()), data.take(take)], names=["cluster", "i", "j", "node", "grams"])
+                    yield pa.RecordBatch.from_arrays([c.slice(at, 256) for c in columns] + [batch.column(0).slice(first, len(some)).take(take).cast(pa.int64()), count.take(take), data.take(take)], names=["cluster", "i", "j", "node", "n", "data"])
 
     return run
 
@@ -175,42 +234,75 @@ def links(grams: list[np.ndarray], percent: int):
             yield a + u, np.flatnonzero(link[u, u + 1 :]) + a + u + 1
 
 
-def forest(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links."""
-    label, edges = np.arange(len(grams)), []
-    for u, vs in links(grams, percent):
+def near(parity: list[np.ndarray], size: np.ndarray, percent: int):
+    """(u, vs) of every row u: the later rows vs that sizes and parity sketches don't rule out.
+
+    A sketch folds to half its bits by exclusive or of its halves, so all are folded to the shortest one's length."""
+    n, wide = len(parity), min(map(len, parity))
+    folded = np.stack([np.bitwise_xor.reduce(p.reshape(-1, wide), axis=0) for p in parity])
+    for a in range(0, n, ROWS):
+        b = min(a + ROWS, n)
+        apart = np.zeros((b - a, n - a), np.int32)
+        for w in range(wide):
+            apart += np.bitwise_count(folded[a:b, None, w] ^ folded[None, a:, w])
+        x, y = size[a:b, None], size[None, a:]
+        ok = (apart.astype(np.int64) * (100 + percent) <= (100 - percent) * (x + y)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (np.minimum(x, y) > 0)
+        for u in range(b - a):
+            yield a + u, np.flatnonzero(ok[u, u + 1 :]) + a + u + 1
+
+
+def forest(n: int, pairs) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a graph of n nodes, given as (u, later neighbours) of every u."""
+    label, edges = np.arange(n), []
+    for u, vs in pairs:
         while len(vs := vs[label[vs] != label[u]]):
             edges.append((u, int(vs[0])))
             label[label == label[vs[0]]] = label[u]
     return edges
 
 
-def _multiply(percent: int):
-    """Rows by (cluster, i, j), each group whole and together: edges of a forest of each group's links."""
+def by_sketch(data: list[bytes], size: list[int], percent: int):
+    return near([np.frombuffer(d, U) for d in data], np.array(size, np.int64), percent)
+
+
+def by_grams(data: list[bytes], size: list[int], percent: int):
+    return links([np.frombuffer(d, U) for d in data], percent)
 
-    def out(key, ids, grams):
-        if len(ids) < 2:
-            return []
-        return [(ids[u], ids[v]) for u, v in forest(grams, percent)]
+
+def _multiply(pairs_of, percent: int):
+    """Rows by (cluster, i, j), each group whole and together: edges of a forest of each group's pairs."""
 
     def run(batches):
-        key, ids, grams = None, [], []
+        key, ids, sizes, data = None, [], [], []
+
+        def edges():
+            return [(ids[u], ids[v]) for u, v in forest(len(ids), pairs_of(data, sizes, percent))] if len(ids) > 1 else []
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
         for batch in batches:
             found = []
-            for c, i, j, node, data in zip(*(batch.column(x).to_pylist() for x in range(5)), strict=True):
+            for c, i, j, node, n, d in zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True):
                 if (c, i, j) != key:
-                    found += out(key, ids, grams)
-                    key, ids, grams = (c, i, j), [], []
+                    found += edges()
+                    key, ids, sizes, data = (c, i, j), [], [], []
                 ids.append(node)
-                grams.append(np.frombuffer(data, U))
+                sizes.append(n)
+                data.append(d)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
-        found = out(key, ids, grams)
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+                yield out(found)
+        yield out(edges())
 
     return run
 
 
+def multiplied(work: DataFrame, pairs_of, percent: int) -> DataFrame:
+    """The components of what pairs_of finds in each block pair of work(cluster, i, j, node, n, data)."""
+    together = work.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    return components(together.mapInArrow(_multiply(pairs_of, percent), "u long, v long"))
+
+
 def blocks(member: DataFrame, percent: int) -> DataFrame:
     """(node, cluster, i, j) of member(node, cluster, n): the pairs of blocks that each node is in.
 
@@ -248,13 +340,14 @@ def ngram_jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col:
     met = key.withColumn("hub", F.min("id").over(Window.partitionBy("key"))).where("id <> hub").select("id", "hub").distinct()
     rep = member.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("rep"))
     edges = met.join(rep, "id").select("hub", F.col("rep").alias("u")).join(rep.withColumnRenamed("id", "hub"), "hub").select("u", F.col("rep").alias("v"))
-    cluster = components(edges)
-    node = cluster.join(member.where("id = rep").groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node").select("node", F.col("component").alias("cluster"), "n")
-    node = durable(node)
+    size = member.where("id = rep").groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"))
+    met = durable(components(edges).join(size, "node").select("node", F.col("component").alias("cluster"), "n"))
+    sketch = signed.join(met.select(F.col("node").alias("id")), "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.first("parity").alias("data"))
+    close = multiplied(blocks(met, percent).join(sketch, "node").join(met.select("node", "n"), "node").select("cluster", "i", "j", "node", "n", "data"), by_sketch, percent)
+    node = durable(close.join(met.select("node", "n"), "node").select("node", F.col("component").alias("cluster"), "n"))
     work = blocks(node, percent).groupBy(F.col("node").alias("id")).agg(F.collect_list(F.struct("cluster", "i", "j")).alias("work"))
     whole = parted(docs, "id", node.select(F.col("node").alias("id")))[0].join(work, "id").dropDuplicates(["id"]).select("id", "text", "work")
-    work = whole.mapInArrow(_grams(k), GRAMS).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    reached = components(work.mapInArrow(_multiply(percent), "u long, v long"))
+    reached = multiplied(whole.mapInArrow(_grams(k), GRAMS), by_grams, percent)
     return member.join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "n", "rep", F.coalesce("component", "rep").alias("component"))
 
 
@@ -271,3 +364,23 @@ def op3_ngram_jaccard_join(spark, sf_dir):
 
     groups = ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
     return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+#: The same groups by joining shingles with themselves, which is fit for small tables only.
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), edges AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, edges.v FROM reach JOIN edges ON edges.u = reach.r
+)
+SELECT d AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sizes ON sizes.doc_id = d GROUP BY d
+"""

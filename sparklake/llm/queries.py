@@ -4,7 +4,7 @@ from .chat import OP5_SQL, op5_chat_formatting
 from .decontamination import op1_decontamination
 from .html_text import op4_html_extraction
 from .media import op7_media_columns
-from .ngram_join import op3_ngram_jaccard_join
+from .ngram_join import OP3_SQL, op3_ngram_jaccard_join
 from .pii import op9_pii
 from .secrets import op10_secret_scan
 from .sentencepiece_bpe import op6_sentencepiece
@@ -25,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": OP3_SQL,
     "op4_html_extraction": op4_html_extraction,
     "op5_chat_formatting": OP5_SQL,
 }
