@@ -54,7 +54,7 @@ def found(spark, texts, **kw):
     return {r.id: (r.n, r.component) for r in nj.ngram_jaccard_groups(df, **kw).collect()}
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 3, 90), (2, 5, 80), (3, 1, 60)])
+@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 3, 90), (2, 5, 80), (3, 1, 60), (6, 2, 50)])
 def test_groups_of_copies(spark, seed, k, percent):
     texts = copies(seed)
     assert found(spark, texts, k=k, percent=percent) == brute(texts, k, percent)
@@ -79,7 +79,21 @@ def test_links_by_block():
     rows = [np.unique(np.concatenate([base[rng.random(50) < 0.95], rng.integers(0, 9, 2).astype(np.uint64)])) for _ in range(12)] + [np.zeros(0, np.uint64)]
     want = {(i, j) for i in range(13) for j in range(i + 1, 13) if len(rows[i]) and len(rows[j]) and 100 * len(np.intersect1d(rows[i], rows[j])) >= 90 * len(np.union1d(rows[i], rows[j]))}
     assert {(u, int(v)) for u, vs in nj.links(rows, 90) for v in vs} == want
-    assert len(nj.forest(rows, 90)) < 13
+    assert len(nj.forest(13, nj.links(rows, 90))) < 13
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (3, 40, 70, 500, 700):
+        base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        rows += [np.unique(np.concatenate([base[rng.random(n) < 0.93], rng.integers(0, 1 << 62, rng.integers(0, 1 + n // 20)).astype(np.uint64)])) for _ in range(8)]
+    size = np.array([len(r) for r in rows])
+    sketch = nj.parities(np.concatenate(rows), np.repeat(np.arange(len(rows)), size), size)
+    for percent in (80, 90):
+        may = {(u, int(v)) for u, vs in nj.by_sketch(sketch, size.tolist(), percent) for v in vs}
+        have = {(u, int(v)) for u, vs in nj.links(rows, percent) for v in vs}
+        assert have and have <= may and len(may) < 400
 
 
 def test_odd_rows(spark, odd, none):
