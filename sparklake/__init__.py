@@ -1 +1 @@
-"""sparklake: a Spark-native lakehouse engine for event tables."""
+"""sparklake: a Spark-native engine for event tables."""

@@ -257,7 +257,9 @@ def parsed(lines: DataFrame, raw: str = "raw") -> DataFrame:
     expressions accept it. The line is parsed as the only element of an array: text after a value shows that way."""
     wrapped = F.concat(F.lit("["), F.col(raw), F.lit("]"))
     one = F.try_parse_json(wrapped)
-    lines = lines.withColumn("_o", F.when(F.json_array_length(wrapped) == 1, F.try_variant_get(one, "$[0]", "variant")))
+    alone = F.when(F.json_array_length(wrapped) == 1, F.try_variant_get(one, "$[0]", "variant"))
+    # explode keeps the optimizer from copying the parse into each of the dozen places that look at its result
+    lines = lines.select("*", F.explode(F.array(alone)).alias("_o"))
     stamp = F.expr("try_variant_get(_o, '$.event_ts', 'string')")
     name = F.expr("try_variant_get(_o, '$.event_name', 'string')")
     iso = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$"
