@@ -40,9 +40,8 @@ class StreamIngest:
             judged.unpersist()
 
     def _trip(self, arriving: int) -> None:
-        s, state = self.settings.ingestion, self.log.state()
-        of_stream = {snapshot for flush, snapshot in state.flushes.items() if flush.startswith(f"{self.stream_id}-")}
-        kept = sum(sum(f.rows for f in self.log.files(x) if f"/{self.stream_id}-" in f.path) for x in sorted(of_stream, key=state.snapshots.get)[-1:])
+        s = self.settings.ingestion
+        kept = sum(rows for flush, (_, rows) in self.log.state().flushes.items() if flush.startswith(f"{self.stream_id}-"))
         bad = self.spark.read.text(self.folder).count()
         checked = kept + arriving + bad
         if checked >= s.reject_min_sample and bad / checked > s.max_reject_ratio:
