@@ -306,14 +306,17 @@ def multiplied(work: DataFrame, pairs_of, percent: int) -> DataFrame:
 def blocks(member: DataFrame, percent: int) -> DataFrame:
     """(node, cluster, i, j) of member(node, cluster, n): the pairs of blocks that each node is in.
 
-    A cluster's nodes are cut, by size, into blocks of at most BLOCK_WEIGHT n-grams (or one larger set). Blocks i <= j are
-    paired only if the largest set of i reaches percent of the smallest set of j.
+    A cluster's nodes are cut, by size, into blocks of about BLOCK_WEIGHT n-grams. Blocks i <= j are paired only if the
+    sizes in one reach percent of the sizes in the other.
     """
-    w = Window.partitionBy("cluster").orderBy("n", "node")
-    cut = member.withColumn("block", F.floor((F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).over(w) - 1) / BLOCK_WEIGHT))
+    # one row for each size of a cluster is summed up along the sizes; a size that fills blocks alone is dealt by id
+    sizes = member.groupBy("cluster", "n").agg((F.count("*") * F.greatest("n", F.lit(LEAST_WEIGHT))).alias("weight"))
+    until = F.sum("weight").over(Window.partitionBy("cluster").orderBy("n"))
+    sizes = sizes.select("cluster", "n", F.floor((until - F.col("weight")) / BLOCK_WEIGHT).alias("first"), F.ceil(F.col("weight") / BLOCK_WEIGHT).alias("many"))
+    cut = member.join(sizes, ["cluster", "n"]).select("node", "cluster", "n", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("many"))).alias("block"))
     span = cut.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = span.alias("a"), span.alias("b")
-    near = (F.col("a.block") <= F.col("b.block")) & (F.col("a.most") * 100 >= F.col("b.least") * percent)
+    near = (F.col("a.block") <= F.col("b.block")) & (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
     pair = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & near).select(F.col("a.cluster").alias("cluster"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
     # a pair of two blocks also covers the pairs inside each, so a block stands alone only if it is near no other
     sides = pair.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
