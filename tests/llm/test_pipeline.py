@@ -1,5 +1,3 @@
-import duckdb  # noqa: F401  (the driver's oracle must be importable beside the pipeline)
-
 import corpus_pipeline as cp
 from sparklake.llm import pii, toxicity
 from tests.llm.test_ngram_join import brute
