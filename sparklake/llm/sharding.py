@@ -152,11 +152,11 @@ def shard_documents(documents: DataFrame, shards: int = 8, id_col: str = "doc_id
         tie = F.shiftrightunsigned(F.xxhash64("text_hash", part), 64 - TIE)
         return [scaled("bytes").alias("size"), scaled("lang").alias("lang"), scaled("source").alias("source"), tie.alias("tie")]
 
-    units = text_units.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.lit(1).alias("node"), *point(F.col("part")), (F.col("weight") / F.col("parts")).alias("weight"))
-    splits = build(durable(units), shards)
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    rows = meta.drop("lang", "source").join(text_units.drop("weight"), ["text_hash", "bytes"])
-    rows = rows.select("id", F.col("bytes").alias("size_bytes"), "text_crc32", F.lit(1).alias("node"), *point(part))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    rows = durable(meta.drop("lang", "source").join(text_units.drop("weight"), ["text_hash", "bytes"]).withColumn("part", part))
+    units = rows.groupBy("text_hash", "bytes", "part").agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.sum("bytes").alias("weight"))
+    splits = build(durable(units.select(F.lit(1).alias("node"), *point(F.col("part")), "weight")), shards)
+    rows = rows.select("id", F.col("bytes").alias("size_bytes"), "text_crc32", F.lit(1).alias("node"), *point(F.col("part")))
     depth = max((s.node.bit_length() for s in splits), default=0)
     for d in range(1, depth + 1):
         rows = rows.withColumn("node", descend([s for s in splits if s.node.bit_length() == d]))
