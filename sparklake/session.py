@@ -21,7 +21,9 @@ CONF = {
 
 
 def session(settings: Settings | None = None, app: str = "sparklake", master: str | None = None, **conf: str) -> SparkSession:
-    """The session, made if there is none. Without a master of the cluster's own it is local, with the settings' threads."""
+    """The session, made if there is none. Without a master of the cluster's own it is local, with the settings' threads.
+
+    Memory and spill folders are Spark's to manage: give spark.driver.memory and spark.local.dir in conf."""
     settings = settings or Settings()
     builder = SparkSession.builder.appName(app)
     if master or "SPARK_MASTER" not in os.environ and not os.environ.get("SPARK_CONF_DIR"):
@@ -30,7 +32,8 @@ def session(settings: Settings | None = None, app: str = "sparklake", master: st
     for key, value in (("endpoint", s.s3_endpoint), ("endpoint.region", s.s3_region), ("access.key", s.s3_access_key.reveal()), ("secret.key", s.s3_secret_key.reveal())):
         if value:
             builder = builder.config(f"spark.hadoop.fs.s3a.{key}", value)
-    spark = builder.config(map=CONF | conf).getOrCreate()
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(settings.query.arrow_batch_rows)}
+    spark = builder.config(map=CONF | own | conf).getOrCreate()
     harden(spark)
     return spark
 
