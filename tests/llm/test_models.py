@@ -167,3 +167,24 @@ def test_forest_learns_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
     trees = learning.forest(x[:1000], y[:1000])
     assert ((learning.vote(trees, x[1000:]) > 0.5) == y[1000:]).mean() > 0.9
+
+
+def test_secrets_finds_passwords_of_any_alphabet(spark):
+    trees = secrets.train(secrets.findings())
+    said = {
+        'password = "hunter2!"': "hunter2!", 'secret: "correcthorsebattery"': "correcthorsebattery", "DB_PASSWORD=p@ss:w0rd#1 next": "p@ss:w0rd#1", '{"password": "tr0ub4dor&3"}': "tr0ub4dor&3", "passwd: 'a!b@c#d$e%f'": "a!b@c#d$e%f", 'dbPassword = "qwertzui"': "qwertzui",
+        'password: str = "s3cr3t!"': "s3cr3t!", 'login("x", password="öl-ß-käse7")': "öl-ß-käse7", 'set_password("Winter!2024")': "Winter!2024", 'secret = "correct horse battery staple"': "correct horse battery staple",
+    }
+    for text, want in said.items():
+        assert want in [text[a:b] for a, b in secrets.candidates(text)], text
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), trees, place_col=None).collect()
+    assert {(r.id, r.secret) for r in rows} == set(enumerate(said.values()))
+    plain = ["password = None", "token = get_token()", 'password: "${DB_PASSWORD}"', 'secret = "changeme"', "the key: value of it", "my token: this one", "monkey: banana", "a keyboard, a password and a secret"]
+    assert secrets.scan_secrets(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"), trees, place_col=None).count() == 0
+    # what overlaps is told once
+    assert secrets.outermost([(1, 0, 4), (1, 0, 9), (1, 2, 9), (1, 9, 12)]) == [(1, 0, 9), (1, 9, 12)]
+
+
+def test_long_runs_of_names_end_soon():
+    for s in ("password=" * 20_000, "key: " * 20_000, 'token="' * 20_000, "secret" * 20_000, "token " * 20_000 + "=", "key=" + "a," * 50_000, "password:" + " " * 100_000, "pwd=" + ")" * 20_000, 'token="' + "\\" * 50_000):
+        secrets.candidates(s)
