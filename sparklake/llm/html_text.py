@@ -6,7 +6,8 @@ short, bare ones on others. Both ratios are put back on the nodes in page order,
 geometric mean and averaged by path again; the paths over a threshold are content. The text is then all of the
 container that holds the content (the article or main element around it, or the lowest element with nearly all of it),
 so that short paragraphs, headings and lists of the article stay; elements that are never article text (menus, forms,
-footers, adverts and the like, by tag, role or class) are left out of both steps.
+footers, adverts and the like, by tag, role or class) are left out of both steps. A class that tells a state, such as
+has-sidebar, leaves out nothing that holds most of the content, and no class (or form) all of it.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 # What is no part of an article, by tag, by role and by word of a class or id.
-NEVER = frozenset("head nav footer aside form button select input dialog menu object audio video canvas script style textarea title xmp iframe noembed noframes noscript template svg".split())
+NEVER = frozenset("head nav footer aside button select input dialog menu object audio video canvas script style textarea title xmp iframe noembed noframes noscript template svg".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HINT = re.compile(
     r"(?:^|[-_])(?:ads?|adverts?|advertisement|adsense|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?"
     r"|sidebar|footer|header|masthead|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|copyright|disclaimer)(?:$|[-_0-9])",
     re.I,
 )
+# A word that tells what an element has or how it is set, not what it is: has-sidebar, comments-open.
+STATE = re.compile(r"(?:^|[-_])(?:has|with|without|no|shows?|hides?|is)[-_]|[-_](?:open(?:ed)?|closed?|enabled|disabled|allowed|on|off|active|inactive|visible|left|right|none)$", re.I)
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$))", re.S)
 LOOSE = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -54,13 +58,15 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.label, self.never, self.hinted = [-1], ["#root"], [""], [False], [False]
+        #: whether a hint is one that the content's score can overrule, and whether it only tells a state
+        self.soft, self.state = [False], [False]
         #: (element, block, raw text)
         self.nodes: list[tuple[int, int, str]] = []
         self._block, self._open, stack, at, pattern = 0, Counter(), [0], 0, TAG
         while True:
             lt = source.find("<", at)
             if lt < 0:
-                self._text(stack[-1], source[at:])
+                self._text(stack, source[at:])
                 return
             m = pattern.match(source, lt)
             if m is None and pattern is TAG and source[lt + 1 : lt + 2].isalpha() | source.startswith("</", lt):
@@ -68,14 +74,14 @@ class Page:
                 if (m := LOOSE.match(source, lt)) is not None:
                     pattern = LOOSE
             if m is None:
-                self._text(stack[-1], source[at : lt + 1])
+                self._text(stack, source[at : lt + 1])
                 at = lt + 1
                 continue
-            self._text(stack[-1], source[at:lt])
+            self._text(stack, source[at:lt])
             at = m.end()
             if m[2] is None:
                 if m[0].startswith("<![CDATA["):
-                    self._text(stack[-1], html.escape(m[0][9:].removesuffix("]]>"), False))
+                    self._text(stack, html.escape(m[0][9:].removesuffix("]]>"), False))
                 continue
             tag = m[2].lower()
             if m[1]:
@@ -83,13 +89,17 @@ class Page:
             else:
                 at = self._start(stack, tag, m[3] or "", source, at)
 
-    def _text(self, element: int, raw: str) -> None:
+    def _text(self, stack: list[int], raw: str) -> None:
         if raw:
-            self.nodes.append((element, self._block, raw))
+            if self.tag[stack[-1]] == "head" and not raw.isspace():
+                self._cut(stack, len(stack) - 1)
+            self.nodes.append((stack[-1], self._block, raw))
 
     def _start(self, stack: list[int], tag: str, rest: str, source: str, at: int) -> int:
+        if self._open["head"] > 0 and tag not in HEAD and tag not in ("html", "head"):  # the end tag of a head may be left out
+            self._close_up_to(stack, {"head"}, set())
         if tag == "br":
-            self._text(stack[-1], " ")
+            self._text(stack, " ")
             return at
         if tag not in INLINE:
             self._block += 1
@@ -106,7 +116,10 @@ class Page:
         self.tag.append(tag)
         self.label.append(tag + (f".{words[0]}" if words else ""))
         self.never.append(tag in NEVER or tag == "header" and not self._open["article"] + self._open["main"])
-        self.hinted.append(bool(hidden) or found.get("role", "").lower() in ROLES or any(HINT.search(w) for w in words))
+        hard, hints = bool(hidden) or found.get("role", "").lower() in ROLES, [w for w in words if HINT.search(w)]
+        self.hinted.append(hard or tag == "form" or bool(hints))
+        self.soft.append(not hard and self.hinted[-1])
+        self.state.append(not hard and tag != "form" and bool(hints) and all(STATE.search(w) for w in hints))
         if tag in RAW:  # skipped whole
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
             return end.end() if end else len(source)
@@ -143,47 +156,78 @@ class Page:
                 return  # an inline end tag closes nothing beyond its block
 
 
-def main_text(source: str) -> str:
-    """The article of a page: its blocks in page order, white space within a block as one space, two line feeds between."""
-    page = Page(source)
-    n = len(page.tag)
-    # what holds the page's article is not left out for its class alone; what stands within an article may be
-    nested = [False] * n
-    for e in range(1, n):
-        nested[e] = nested[page.parent[e]] or page.tag[page.parent[e]] == "article"
-    for e in range(n):
-        if page.tag[e] in ("article", "main", "body") and not nested[e] and not (page.tag[e] == "article" and page.hinted[e]):
-            while (e := page.parent[e]) > 0 and page.hinted[e]:
-                page.hinted[e] = False
-    out, path, paths = [False] * n, [0] * n, {}
-    for e in range(1, n):  # parents come before children
-        p = page.parent[e]
-        out[e] = out[p] or page.never[e] or page.hinted[e] and page.tag[e] not in ("html", "body", "main")
-        path[e] = paths.setdefault((path[p], page.label[e]), len(paths) + 1)
-    nodes = [(e, b, s) for e, b, s in ((e, b, html.unescape(raw) if "&" in raw else raw) for e, b, raw in page.nodes)]
-    solid = [(e, len(s.split()) and len(" ".join(s.split())), len(POINTS.findall(s))) for e, _, s in nodes if not s.isspace()]
-    if not solid:
-        return ""
+def left_out(page: Page, hinted: list[bool]) -> list[bool]:
+    """Whether each element is no part of the article, with these hints."""
+    out = [False] * len(page.tag)
+    for e in range(1, len(out)):  # parents come before children
+        out[e] = out[page.parent[e]] or page.never[e] or hinted[e] and page.tag[e] not in ("html", "body", "main")
+    return out
+
+
+def scored(page: Page, out: list[bool], path: list[int], solid: list[tuple[int, int, int]]) -> tuple[list[bool], list[float]]:
+    """Whether each of solid's nodes is content, by the tag-path ratios of what isn't left out; the content of each element."""
     number = {p: i for i, p in enumerate(dict.fromkeys(path[e] for e, _, _ in solid))}
     of = np.array([number[path[e]] for e, _, _ in solid])
     count = np.bincount(of)
     allowed = np.array([not out[e] for e, _, _ in solid], float)
+    weight = [0.0] * len(page.tag)
+    if not allowed.any():
+        return [False] * len(solid), weight
     fused = np.ones(len(solid))
     for k in (1, 2):
         ratio = np.bincount(of, [x[k] for x in solid]) / count
         wide = np.pad((ratio[of] + (k == 2)) * allowed, 3, mode="edge")
         fused *= np.convolve(wide, KERNEL, "valid")
     score = np.bincount(of, np.sqrt(fused) * allowed) / count
-    if not allowed.any():
-        return ""
     chosen = (score >= THRESHOLD * (score * count).sum() / (count * (score > 0)).sum()) & (score > 0)
+    content = (chosen[of] & (allowed > 0)).tolist()
     # content by element, summed up towards the root
-    weight = [0.0] * n
-    for (e, size, _), i, ok in zip(solid, of, allowed, strict=True):
-        if ok and chosen[i]:
+    for (e, size, _), ok in zip(solid, content, strict=True):
+        if ok:
             weight[e] += size
-    for e in range(n - 1, 0, -1):
+    for e in range(len(weight) - 1, 0, -1):
         weight[page.parent[e]] += weight[e]
+    return content, weight
+
+
+def main_text(source: str) -> str:
+    """The article of a page: its blocks in page order, white space within a block as one space, two line feeds between."""
+    page = Page(source)
+    n = len(page.tag)
+    # what holds the page's article is not left out for its class alone; what stands within an article may be
+    nested = [False] * n
+    for e in range(1, n):
+        nested[e] = nested[page.parent[e]] or page.tag[page.parent[e]] == "article"
+    path, paths = [0] * n, {}
+    for e in range(1, n):
+        path[e] = paths.setdefault((path[page.parent[e]], page.label[e]), len(paths) + 1)
+    nodes = [(e, b, s) for e, b, s in ((e, b, html.unescape(raw) if "&" in raw else raw) for e, b, raw in page.nodes)]
+    solid = [(e, len(s.split()) and len(" ".join(s.split())), len(POINTS.findall(s))) for e, _, s in nodes if not s.isspace()]
+    if not solid:
+        return ""
+
+    def unhint(kinds: list[bool], weight: list[float]) -> None:
+        """Hints of these kinds don't leave out what holds most of the content."""
+        for e in range(1, n):
+            if kinds[e] and weight[e] > 0.5 * weight[0]:
+                page.hinted[e] = False
+
+    if any(page.state):
+        unhint(page.state, scored(page, left_out(page, [h and not s for h, s in zip(page.hinted, page.state, strict=True)]), path, solid)[1])
+    for e in range(n):
+        if page.tag[e] in ("article", "main", "body") and not nested[e] and not (page.tag[e] == "article" and page.hinted[e]):
+            while (e := page.parent[e]) > 0 and page.hinted[e]:
+                page.hinted[e] = False
+    out = left_out(page, page.hinted)
+    if any(h and s for h, s in zip(page.hinted, page.soft, strict=True)):
+        # if the hints leave nothing that is content by the score of the whole page, the score decides
+        content, weight = scored(page, left_out(page, [h and not s for h, s in zip(page.hinted, page.soft, strict=True)]), path, solid)
+        if not any(ok and not out[e] for (e, _, _), ok in zip(solid, content, strict=True)) and any(ok and points for (_, _, points), ok in zip(solid, content, strict=True)):
+            unhint(page.soft, weight)
+            out = left_out(page, page.hinted)
+    weight = scored(page, out, path, solid)[1]
+    if not weight[0]:
+        return ""
     # the outermost articles, else the outermost main elements
     for kind in ("article", "main"):
         within = [False] * n

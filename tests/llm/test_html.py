@@ -27,6 +27,24 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><body><article>{BODY}</article>{REST}", f"<html><head><meta charset=utf-8><title>T</title><div>{BODY}</div>{REST}", f"<head><title>T</title>\n{BODY}", f"<html><head><title>T</title></head><body><article>{BODY}</article>",
+        f'<body><article class="post comments-open">{BODY}</article>{REST}', f'<body><article class="has-sidebar">{BODY}</article><div class=comments><p>{"Nice, post! " * 90}</p></div>{REST}',
+        f'<body><p>Ann, 2024.</p><div class="content with-sidebar">{BODY}<div class=sidebar>Read, this. Too.</div></div>{REST}', f'<body><div class="sidebar-main"><div class="widget">{BODY}</div></div>', f"<body><form id=aspnet><div>{BODY}</div></form>{REST}",
+        f"<body><form><article>{BODY}</article></form>", f'<body><div class=post>{BODY}</div><div class=comments><p>{"Nice, post! " * 90}</p></div>',
+    ],
+)
+def test_no_hint_leaves_out_the_article(page):
+    text = main_text(page)
+    assert TEXT in text and len(text) <= len(TEXT) + len("Ann, 2024.\n\n")
+
+
+def test_pages_of_menus_only_stay_empty():
+    assert main_text("<div class=menu><a>Home</a> <a>About</a></div><form>Name</form>") == "" == main_text("<head><title>T, t.</title><style>a, b.</style>")
+
+
 def test_broken_pages_end_soon():
     for page in ("<" * 100_000, '<a b="' * 20_000, "<p>" * 20_000 + "x", "<div>" * 20_000 + "x", "</p>" * 50_000, "<b>" * 20_000, "<li>" * 20_000, "&amp" * 50_000, "<!--" * 20_000):
         main_text(page)
