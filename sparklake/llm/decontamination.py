@@ -176,10 +176,10 @@ def _leaks(shared, coverage: float):
     return run
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """Blocks of the test items, read one by one."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, unnamed: bool = False):
+    """Blocks of the test items, read one by one; unnamed: also of those with a null id."""
     ids, strings, size = [], [], 0
-    for r in pick(benchmark, item_col, text_col).where("id IS NOT NULL AND text IS NOT NULL").orderBy("id", "text").toLocalIterator():
+    for r in pick(benchmark, item_col, text_col).where("text IS NOT NULL" if unnamed else "id IS NOT NULL AND text IS NOT NULL").orderBy("id", "text").toLocalIterator():
         ids.append(r.id)
         strings.append(r.text)
         size += 1 + len(r.text) // 2
@@ -195,7 +195,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     words or more (all of a shorter item) cover at least that share of the item's words.
 
     Words are runs of letters and digits, in lower case; whatever stands between them doesn't count. Null and empty
-    texts, and items without words, match nothing. Items of equal text are reported each; repeated rows of documents
+    texts, and items without words, match nothing; items with a null id have no rows here (without_leaks() heeds them). Items of equal text are reported each; repeated rows of documents
     give repeated rows. An empty benchmark or an empty table gives no rows. Other columns are not looked at.
     """
     spark = documents.sparkSession
@@ -208,7 +208,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """The rows of documents, all columns, for which find_leaks() has no row."""
+    """The rows of documents, all columns, for which find_leaks() has no row, nor would have if the items with a null id had one."""
     spark = documents.sparkSession
     bounded_batches(spark)
     at = documents.columns.index(text_col)
@@ -224,7 +224,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
 
         return run
 
-    for items in item_blocks(benchmark, item_col, item_text_col):
+    for items in item_blocks(benchmark, item_col, item_text_col, unnamed=True):
         documents = documents.mapInArrow(keep(spark.sparkContext.broadcast(items)), documents.schema)
     return documents
 

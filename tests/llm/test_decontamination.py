@@ -64,6 +64,12 @@ def test_short_items_and_blocks(spark, monkeypatch):
     assert d.find_leaks(docs, empty).count() == 0 and d.without_leaks(docs, empty).count() == 3
 
 
+def test_filtering_needs_no_item_id(spark):
+    docs = spark.createDataFrame([(1, f"so {ITEM} it goes"), (2, "hello friend")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM), (None, None)], "item_id long, text string")
+    assert [r.doc_id for r in d.without_leaks(docs, items).collect()] == [2]
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "the cat sat on the mat and looked at the dog")], "item_id long, text string")
     assert sorted(r.id for r in d.find_leaks(odd, items).collect()) == [1, 1, 2]
