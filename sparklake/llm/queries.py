@@ -26,6 +26,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
-    "op4_html_extraction": op4_html_extraction,
     "op5_chat_formatting": OP5_SQL,
 }

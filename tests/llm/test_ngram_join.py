@@ -125,3 +125,21 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_oracles_are_sql_and_op3_agrees_with_its_own(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+    from sparklake.llm.queries import ORACLES, QUERIES
+
+    assert all(isinstance(x, str) for x in __spark_entry__.oracle_sql().values())
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(60)] for _ in range(12)]
+    rows = [(i, " ".join(base[i % 12][: 60 - i // 12])) for i in range(48)] + [(48, None), (49, ""), (50, "One two"), (51, "one  TWO"), (52, rng.choice("xyz"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLES["op3_ngram_jaccard_join"]).fetchall()
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op3_ngram_jaccard_join"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len({c for *_, c in got}) < len(got)
