@@ -103,11 +103,10 @@ def _leaves(splits: list[Split], leaves: int) -> dict[int, int]:
 
 
 def _ordinals(meta: DataFrame, name: str) -> DataFrame:
-    """name's values as ordinals, 0 to 1, of their rank among the distinct hashes: value -> (name, ordinal).
+    """name's values as ordinals: the upper 48 bits of a hash of the whole value, in place of the value.
 
-    A bounded stand-in for a rank: the position of the value's first two bytes, which needs no list of all values."""
-    raw = F.rpad(F.substring(F.coalesce(F.col(name), F.lit("")).cast("binary"), 1, 6), 6, F.lit(b"\0"))
-    return meta.withColumn(name, F.conv(F.hex(raw), 16, 10).cast("double"))
+    A bounded stand-in for the rank among the distinct hashes, which needs no list of all values; null is a value."""
+    return meta.withColumn(name, F.shiftrightunsigned(F.xxhash64(name), 16).cast("double"))
 
 
 def shard_documents(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", target_bytes: int | None = None) -> DataFrame:

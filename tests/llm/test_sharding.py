@@ -47,6 +47,14 @@ def test_equal_texts_stay_together(spark):
     assert all(len(x) == 1 for x in where.values())
 
 
+def test_sources_that_begin_alike_are_split(spark):
+    rows = [(i, f"{i:06d}", "en", f"https://host/{i % 2}") for i in range(400)]
+    got, total = balanced(spark, rows, 2)
+    assert len({(r.shard, r.id % 2) for r in got}) == 2 and len(set(total.values())) == 1
+    ordinals = s._ordinals(spark.createDataFrame([(f"https://host/{i}",) for i in range(50)] + [("",), (None,)], "source string"), "source")
+    assert ordinals.distinct().count() == 52
+
+
 def test_target_bytes(spark):
     got, total = balanced(spark, [(i, "x" * 99, "en", "a") for i in range(100)], 8, target_bytes=2_500)
     assert len(total) == 4 and max(total.values()) <= 2_600
