@@ -1,88 +1,182 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled documents: one of ordinary text, by zstandard's own trainer, and one of
-the segments that mark toxic text, the most telling ones last. A window of a text (a word with the spaces beside it,
-in a frame that both dictionaries hold, since zstandard stores a block raw that it can't shrink) is compressed with
-either. The bytes that the toxic one saves are the window's distance; the windows beyond two thresholds are counted, and
-a logistic curve fitted on the labelled documents calibrates the counts to a probability. What is learnt is a few
-kilobytes; scoring is one pass. Copies among the labelled documents are left out of the learning, or what they happen
-to have in common would look like marks.
+zstandard's trainer makes two dictionaries of labelled documents: one of windows of ordinary text, one of windows of
+toxic text. A window is two words with the spaces around them. It is compressed once with the ordinary dictionary and
+once with the toxic one behind it, in a frame that both hold (zstandard stores a block raw that it can't shrink); the
+bytes that the toxic one saves are the window's distance. Toxic documents are mostly ordinary text, and so is what the
+trainer finds in them. So each of its segments is put to the test on the labelled documents, by the same distance: it
+stays if far more toxic than ordinary documents have a window from which it saves SAVED bytes or more.
+
+What a distance is worth is calibrated on the labelled documents: the log-odds of each distance, and two thresholds that
+at most SELDOM and RARE of all ordinary windows reach. A logistic curve over a document's windows gives its score. What
+is learnt is under 100 kB; scoring is one pass. Near copies among the labelled documents are left out of the learning,
+or what they happen to have in common would look like marks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pick, table, texts
+from .common import bounded_batches, pick, slices, table, texts
 from .hashing import U, mix, sets
 from .learning import logistic, sigmoid
 
-#: Labelled documents of either kind that are learnt from at most, the first by a hash of the id.
-MOST_TOXIC, MOST_ORDINARY = 1_200, 3_600
-#: Lengths of the character runs that may mark toxic text; bytes of the two dictionaries.
-RUNS, TOXIC_BYTES, ORDINARY_BYTES = (4, 5, 6, 7, 8), 8_192, 16_384
-#: How much likelier, and by how many standard errors, a run must be in toxic documents to mark them.
-RATIO, SIGMAS = 6.0, 4.0
-THRESHOLDS = (2, 3)
+#: What is learnt from at most: labelled documents of either kind, the first by a hash of the id, and bytes of their texts.
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1_200, 3_600, 24_000_000
+#: Bytes of the two dictionaries as trained; the trainer's segments and the runs by which it weighs them.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, RUN = 65_536, 32_768, 8, 6
+#: Bytes that a segment must save in a window to count; how much likelier, and by how many standard errors, a toxic
+#: document must be to have such a window.
+SAVED, RATIO, SIGMAS = 3, 5.0, 3.5
+#: Shares of the ordinary windows that reach the two thresholds at most; the greatest distance that is told from more.
+SELDOM, RARE, FAR = 0.005, 0.0015, 7
 #: zstandard begins no match in a block's last 8 bytes, so a tail follows the window.
 FRAME, TAIL = b"\x00#frame-of-a-window-0123456789#", bytes(range(128, 136))
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
-
-
-def windows(text: str) -> list[str]:
-    """The words of a text in lower case, whatever stands between their letters."""
-    return WORD.findall(text.lower())
-
-
-def _runs(window: str, lengths: tuple[int, ...] = RUNS) -> set[str]:
-    w = f" {window} "
-    return {w[i : i + k] for k in lengths for i in range(len(w) - k + 1)}
-
-
-def marks(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """The character runs that far more toxic than ordinary documents have.
-
-    One length is counted after the other, and only runs of three toxic documents or more are looked for in the ordinary
-    ones, so that the driver holds a few hundred thousand counts at most for the documents that learn() takes."""
-    least, found = max(3, len(toxic) // 500), set()
-    for k in RUNS:
-        own: Counter[str] = Counter()
-        for t in toxic:
-            own.update(set().union(*(_runs(w, (k,)) for w in set(windows(t)))))
-        own = Counter({g: c for g, c in own.items() if c >= least})
-        other: Counter[str] = Counter()
-        known: dict[str, tuple[str, ...]] = {}
-        for t in ordinary:
-            got: set[str] = set()
-            for w in set(windows(t)):
-                if (some := known.get(w)) is None:
-                    some = known[w] = tuple(g for g in _runs(w, (k,)) if g in own)
-                got.update(some)
-            other.update(got)
-        for g, c in own.items():
-            a, b = c + 0.5, other[g] + 0.5
-            gap = np.log(a / (len(toxic) + 1)) - np.log(b / (len(ordinary) + 1))
-            if gap >= np.log(RATIO) and gap >= SIGMAS * np.sqrt(1 / a + 1 / b):
-                found.add(g)
-    return found
-
-
-def segments(words: list[str], mark: set[str]) -> list[str]:
-    """For each window with marks, the part of it from the first mark's start to the last one's end."""
-    out = []
-    for word in words:
-        w = f" {word} "
-        spans = [(i, i + k) for k in RUNS for i in range(len(w) - k + 1) if w[i : i + k] in mark]
-        if spans:
-            out.append(w[min(spans)[0] : max(e for _, e in spans)])
-    return out
+
+
+class Windows:
+    """All windows of some texts: words in lower case, whatever stands between their letters, two by two."""
+
+    def __init__(self, documents: list[str]):
+        found = [WORD.findall(t.lower()) for t in documents]
+        n = np.array([len(w) for w in found], np.int64)
+        self.documents, self.bytes = len(found), "".join(f" {' '.join(w)} " for w in found if w).encode()
+        self.data = np.frombuffer(self.bytes, np.uint8)
+        # a text of n words has n + 1 spaces; its windows begin at all but the last two, or at the first of two
+        space, has = np.flatnonzero(self.data == 32), n > 0
+        first, many = (np.cumsum(n + 1) - n - 1 - np.cumsum(~has) + ~has)[has], np.maximum(n[has] - 1, 1)
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(first, many) + k
+        self.begin = space[at] if len(at) else at
+        self.end = (space[np.minimum(at + 2, np.repeat(first + n[has], many))] if len(at) else at) + 1
+        self.document = np.repeat(np.flatnonzero(has), many)
+
+    def runs(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, index in the sorted known) of every run of RUN bytes that is known."""
+        places, which, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(1 << 18, bool)
+        spot = lambda v: ((v * U(0x9E3779B97F4A7C15)) >> U(46)).astype(np.int64)
+        bits[spot(known)] = True
+        for a in range(0, max(0, len(self.data) - RUN + 1), 1 << 20):
+            v = packed(self.data[a : a + (1 << 20) + RUN - 1])
+            p = np.flatnonzero(bits[spot(v)])
+            k = np.minimum(np.searchsorted(known, v[p]), len(known) - 1)
+            ok = known[k] == v[p] if len(known) else np.zeros(len(p), bool)
+            places.append(p[ok] + a)
+            which.append(k[ok])
+        return np.concatenate(places), np.concatenate(which)
+
+    def holding(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index in position, window) for every window that holds the whole run at a position."""
+        low, high = np.searchsorted(self.end, position + RUN), np.searchsorted(self.begin, position, "right")
+        many = np.maximum(high - low, 0)
+        return np.repeat(np.arange(len(position)), many), np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+
+    def framed(self, which: np.ndarray) -> list[bytes]:
+        return [FRAME + self.bytes[a:b] + TAIL for a, b in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)]
+
+
+def packed(data: np.ndarray) -> np.ndarray:
+    """Every run of RUN bytes as a number."""
+    n = max(0, len(data) - RUN + 1)
+    v = np.zeros(n, U)
+    for j in range(RUN):
+        v |= data[j : j + n].astype(U) << U(8 * j)
+    return v
+
+
+def compressor(content: bytes):
+    """The compressed lengths of framed windows with that content as the dictionary."""
+    import zstandard
+
+    # raw content: no entropy tables, so that a length counts matches and literals only
+    p = zstandard.ZstdCompressionParameters.from_level(3, window_log=17, hash_log=16, chain_log=16, search_log=5, target_length=16, min_match=4, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_dict_id=0)
+    d = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=p)
+    z = zstandard.ZstdCompressor(dict_data=d, compression_params=p)
+
+    def lengths(framed: list[bytes]) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for i in range(0, len(framed), 20_000):
+            some = framed[i : i + 20_000]
+            n = np.array([len(b) for b in some], np.uint64)
+            done = z.multi_compress_to_buffer(zstandard.BufferWithSegments(b"".join(some), np.stack([np.cumsum(n) - n, n], 1).tobytes()), threads=1)
+            out.append(np.array([len(done[k]) for k in range(len(done))], np.int64))
+        return np.concatenate(out)
+
+    return lengths
+
+
+def trained(windows: list[bytes], size: int) -> bytes:
+    """What zstandard's trainer takes from the distinct windows; their beginnings if they are too few to train on."""
+    import zstandard
+
+    windows = list(dict.fromkeys(windows))
+    try:
+        return zstandard.train_dictionary(size, windows, k=SEGMENT, d=RUN).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(windows)[:size]
+
+
+def _all(w: Windows) -> list[bytes]:
+    return [w.bytes[a:b] for a, b in zip(w.begin.tolist(), w.end.tolist(), strict=True)]
+
+
+def telling(segments: list[bytes], ordinary: bytes, bad: Windows, good: Windows) -> list[bytes]:
+    """The segments that save SAVED bytes far more often in toxic than in ordinary documents, the best last."""
+    base, kept = compressor(ordinary), []
+    runs = [packed(np.frombuffer(s, np.uint8)) for s in segments]
+    known, back = np.unique(np.concatenate([*runs, np.zeros(0, U)]), return_inverse=True)
+    owner = np.repeat(np.arange(len(segments)), [len(r) for r in runs])
+
+    def meet(w: Windows, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, window), by segment, of the pairs of one of some segments and a window that share a run."""
+        use = np.isin(owner, some)
+        order = np.argsort(back[use], kind="stable")
+        of, seg = back[use][order], owner[use][order]
+        position, gram = w.runs(known)
+        low, many = np.searchsorted(of, gram), np.searchsorted(of, gram, "right") - np.searchsorted(of, gram)
+        position, at = np.repeat(position, many), np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+        which, window = w.holding(position)
+        pair = np.unique(seg[at][which] * len(w.begin) + window) if len(window) else np.zeros(0, np.int64)
+        return pair // max(1, len(w.begin)), pair % max(1, len(w.begin))
+
+    plain: dict[int, dict[int, int]] = {id(bad): {}, id(good): {}}
+
+    def documents(w: Windows, k: int, window: np.ndarray, own) -> int:
+        """Documents with a window from which segment k saves enough."""
+        seen = plain[id(w)]
+        if new := [x for x in window.tolist() if x not in seen]:
+            seen.update(zip(new, base(w.framed(np.array(new))).tolist(), strict=True))
+        saved = np.array([seen[x] for x in window.tolist()], np.int64) - own(w.framed(window))
+        return len(np.unique(w.document[window[saved >= SAVED]]))
+
+    def gap(a: int, b: int) -> tuple[float, bool]:
+        x, y = a + 0.5, b + 0.5
+        g = np.log(x / (bad.documents + 1)) - np.log(y / (good.documents + 1))
+        return g, g >= np.log(RATIO) and g >= SIGMAS * np.sqrt(1 / x + 1 / y)
+
+    def each(w: Windows, some: np.ndarray):
+        seg, window = meet(w, some)
+        cut = np.searchsorted(seg, np.arange(len(segments) + 1))
+        return lambda k: window[cut[k] : cut[k + 1]]
+
+    of, count = each(bad, np.arange(len(segments))), {}
+    for k in range(len(segments)):
+        # what could not tell even if no ordinary document had it is not looked for in those
+        if gap(len(np.unique(bad.document[of(k)])), 0)[1] and gap(a := documents(bad, k, of(k), compressor(ordinary + segments[k])), 0)[1]:
+            count[k] = a
+    of = each(good, np.array(sorted(count), np.int64))
+    for k, a in count.items():
+        g, ok = gap(a, documents(good, k, of(k), compressor(ordinary + segments[k])))
+        if ok:
+            kept.append((g * a, segments[k]))
+    return [s for _, s in sorted(kept)]
 
 
 def fresh(documents: list[str]) -> list[str]:
@@ -99,102 +193,89 @@ def fresh(documents: list[str]) -> list[str]:
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves over the ordinary one, by window; 0 where it saves none."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        import zstandard
-
-        # raw content: no entropy tables, so that a length counts matches and literals only
-        p = zstandard.ZstdCompressionParameters.from_level(3, window_log=15, hash_log=12, chain_log=13, search_log=5, target_length=32, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_dict_id=0)
-
-        def with_dictionary(content: bytes):
-            d = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=p)
-            return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
-
-        self.ordinary, self.toxic = with_dictionary(ordinary), with_dictionary(toxic)
-        #: length by bytes of a window in which nothing matches: beyond what either dictionary can need
-        self.plain = [len(self.toxic(FRAME + bytes(range(1, n + 1)) + TAIL)) for n in range(30)]
-        self.known: dict[str, int] = {}
-
-    def __call__(self, window: str) -> int:
-        d = self.known.get(window)
-        if d is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            b = f" {window} ".encode()
-            own = len(self.toxic(FRAME + b + TAIL))
-            d = 0
-            if len(b) >= len(self.plain) or own <= self.plain[len(b)] - THRESHOLDS[0]:
-                d = max(0, len(self.ordinary(FRAME + b + TAIL)) - own)
-            self.known[window] = d
-        return d
-
-    def features(self, words: list[str]) -> list[float]:
-        """Windows beyond either threshold, as logarithms and as shares of all, and the farthest window."""
-        low = high = most = 0
-        for w, n in Counter(words).items():
-            d = self(w)
-            if d >= THRESHOLDS[0]:
-                low += n
-                high += n * (d >= THRESHOLDS[1])
-                most = max(most, d)
-        total = len(words) + 20
-        return [np.log1p(low), np.log1p(high), 30 * low / total, 30 * high / total, most / 4]
+    """How many bytes the toxic dictionary saves in each window, 0 to FAR; and what follows from that for a document."""
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.ordinary, self.toxic = compressor(model["ordinary"]), compressor(model["ordinary"] + model["toxic"])
+        self.seeds = np.unique(packed(np.frombuffer(model["toxic"], np.uint8)))
+
+    def __call__(self, w: Windows) -> np.ndarray:
+        """The distance of every window. One that has no run of RUN bytes in common with the toxic dictionary gains nothing."""
+        out = np.zeros(len(w.begin), np.int64)
+        if len(self.seeds):
+            which = np.unique(w.holding(w.runs(self.seeds)[0])[1])
+            framed = w.framed(which)
+            out[which] = np.clip(self.ordinary(framed) - self.toxic(framed), 0, FAR)
+        return out
+
+    def counts(self, w: Windows) -> np.ndarray:
+        """For each document, how many windows are at each distance."""
+        return np.bincount(w.document * (FAR + 1) + self(w), minlength=w.documents * (FAR + 1)).reshape(-1, FAR + 1)
+
+    def features(self, h: np.ndarray) -> np.ndarray:
+        """Of counts(): the windows' summed log-odds, the windows beyond either threshold as logarithms and shares, and
+        how many windows there are."""
+        low, high = (h[:, t:].sum(1) for t in self.model["thresholds"])
+        n = h.sum(1) + 10
+        return np.stack([h @ np.array(self.model["levels"]), np.log1p(low), np.log1p(high), 30 * low / n, 30 * high / n, np.log(n)], 1)
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> dict:
-    """What scoring needs: the two dictionaries and the weights. Without toxic or ordinary texts all score 0."""
-    import zstandard
-
+    """What scoring needs: the two dictionaries, what a distance is worth, and the weights. Without toxic or ordinary
+    texts all score 0."""
+    model = {"ordinary": b"", "toxic": b"", "levels": [0.0] * (FAR + 1), "thresholds": [1, 1], "weights": [0.0] * 6 + [-30.0]}
     if not toxic or not ordinary:
-        return {"ordinary": b"", "toxic": b"", "weights": [0.0] * 5 + [-30.0]}
-    bad, good = fresh(toxic), fresh(ordinary)
-    mark = marks(bad, good)
-    weight: Counter[str] = Counter()
-    for t in bad:
-        weight.update(set(segments(windows(t), mark)))
-    # the heaviest segments go last, nearest to the window; those inside a kept one add nothing
-    chosen, size, known = [], 0, ""
-    for s, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
-        if s not in known and size + len(s.encode()) <= TOXIC_BYTES:
-            chosen.append(s)
-            known += "\0" + s
-            size += len(s.encode())
-    runs = [" ".join(w[i : i + 8]).encode() for w in map(windows, good) for i in range(0, len(w), 8)]
-    try:
-        plain = zstandard.train_dictionary(ORDINARY_BYTES, runs).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        plain = b" ".join(runs)[:ORDINARY_BYTES]
-    model = {"ordinary": plain, "toxic": "".join(reversed(chosen)).encode()}
-    far = Distance(model["ordinary"], model["toxic"])
-    del runs
-    x = np.array([far.features(windows(t)) for t in bad + good])
-    return model | {"weights": logistic(x, np.r_[np.ones(len(bad)), np.zeros(len(good))]).tolist()}
+        return model
+    bad, good = Windows(fresh(toxic)), Windows(fresh(ordinary))
+    model["ordinary"] = trained(_all(good), ORDINARY_BYTES)
+    found = trained(_all(bad), TOXIC_BYTES)
+    found = found[len(found) % SEGMENT :]
+    model["toxic"] = b"".join(telling(list(dict.fromkeys(found[i : i + SEGMENT] for i in range(0, len(found), SEGMENT))), model["ordinary"], bad, good))
+    far = Distance(model)
+    x, y = far.counts(bad), far.counts(good)
+    a, b = x.sum(0) + 1, y.sum(0) + 1
+    beyond = np.cumsum(y.sum(0)[::-1])[::-1] / max(1, y.sum())
+    model["levels"] = np.log(a / a.sum() / (b / b.sum())).tolist()
+    model["thresholds"] = [next((t for t in range(1, FAR + 1) if beyond[t] <= share), FAR) for share in (SELDOM, RARE)]
+    both = np.concatenate([far.features(x), far.features(y)])
+    return model | {"weights": logistic(both, np.r_[np.ones(len(x)), np.zeros(len(y))]).tolist()}
 
 
 def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """fit() on the labelled documents whose crc32(id as text) mod 5 is not 0, MOST_TOXIC and MOST_ORDINARY of them at
-    most. Labels that are null or other than 0 and 1, null ids and null texts teach nothing; an id that is labelled both
-    ways teaches nothing either; a repeated document counts once for each text."""
+    """fit() on the labelled documents whose crc32(id as text) mod 5 is not 0: MOST_TOXIC and MOST_ORDINARY ids and, of
+    either kind, MOST_BYTES of text at most, whole texts in the order of a hash of their ids; an id whose texts don't fit
+    any more is passed over. Labels that are null or other than 0 and 1, null ids and null texts teach nothing; an id that
+    is labelled both ways teaches nothing either; a repeated document counts once for each different text."""
     seen = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     seen = seen.where("toxic = most AND crc32(CAST(id AS STRING)) % 5 <> 0 AND id IS NOT NULL").select("id", "toxic", F.xxhash64("id").alias("turn"))
-    out = []
-    for kind, most in ((1, MOST_TOXIC), (0, MOST_ORDINARY)):
-        ids = seen.where(F.col("toxic") == kind).orderBy("turn", "id").limit(most).select("id")
-        rows = pick(documents, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(ids), "id").orderBy("id", "text")
-        out.append([r.text for r in rows.limit(4 * most).toLocalIterator()])
-    return fit(*out)
+    ids = seen.where("toxic = 1").orderBy("turn", "id").limit(MOST_TOXIC).unionByName(seen.where("toxic = 0").orderBy("turn", "id").limit(MOST_ORDINARY))
+    rows = pick(documents, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(ids), "id")
+    sizes = rows.groupBy("id", "toxic", "turn").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("turn", "id").collect()
+    left, fits = {0: MOST_BYTES, 1: MOST_BYTES}, []
+    for r in sizes:
+        if r.bytes <= left[r.toxic]:
+            left[r.toxic] -= r.bytes
+            fits.append((r.id, r.toxic))
+    out: dict[int, list[str]] = {0: [], 1: []}
+    if fits:
+        chosen = documents.sparkSession.createDataFrame(fits, "id long, toxic int")
+        rows = pick(documents, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(chosen), "id").select("id", "toxic", "text").distinct()
+        for r in rows.orderBy("id", "text").toLocalIterator():
+            out[r.toxic].append(r.text)
+    return fit(out[1], out[0])
 
 
 def _score(shared):
     def run(batches):
         model = shared.value
-        far, w = Distance(model["ordinary"], model["toxic"]), np.array(model["weights"])
+        far, w = Distance(model), np.array(model["weights"])
         for batch in batches:
-            x = np.array([far.features(windows(t)) for t in texts(batch.column(1)).to_pylist()]).reshape(-1, 5)
-            score = sigmoid(np.c_[x, np.ones(len(x))] @ w)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score)], names=["id", "score"])
+            score = [np.zeros(0)]
+            for _, some in slices(texts(batch.column(1))):
+                x = far.features(far.counts(Windows(some.to_pylist())))
+                score.append(sigmoid(np.c_[x, np.ones(len(x))] @ w))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(score))], names=["id", "score"])
 
     return run
 
@@ -211,7 +292,10 @@ def score(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
 
 
 def without_toxic(documents: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of documents, all columns, that score() gives less than threshold."""
+    """The rows of documents, all columns, that score() gives less than threshold.
+
+    Null and empty texts have the score of no words, which is low unless nearly all labelled documents are toxic; each of
+    repeated rows stays or goes like the others; an empty table gives an empty one. Other columns may have any names."""
     spark = documents.sparkSession
     bounded_batches(spark)
     run, at = _score(spark.sparkContext.broadcast(model)), documents.columns.index(text_col)
