@@ -1,11 +1,13 @@
 """Personal data by weak supervision.
 
-Candidate spans come from the four base patterns, which stay whatever the method says, and from wider ones (local phone
-numbers, spelt-out addresses, IBANs, social security numbers, names). Labelers vote on each candidate: its strict form, a
-checksum or range, the words before and after it, gazetteers, and its digits' variety. The votes of all candidates of all
-documents are counted by pattern, of which there are a bounded number; expectation-maximisation over these counts
-estimates how reliable each labeler is for each kind without any label, and a logistic classifier is trained on the
-labels that this gives. It then decides which further candidates are added.
+Candidate spans come from the four base patterns, which stay whatever the method says, and from wider ones: access tokens
+and other credentials, card and phone numbers inside of base matches that ran on and failed, local phone numbers,
+spelt-out addresses, IBANs, social security numbers, names. Labelers vote on each candidate: its form, a checksum or
+range, the words before and after it, gazetteers, and its digits' variety. The votes of all candidates of all documents
+are counted by pattern, together with the span's length and shape, of which there are a bounded number;
+expectation-maximisation over these counts estimates how reliable each labeler is for each kind without any label, and
+a logistic classifier is trained on the labels that this gives. It decides, by votes, length and shape, which further
+candidates are added; no candidate is dropped before it.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import bounded_batches, durable, pick, table, texts
+from .common import bounded_batches, durable, free_name, pick, table, texts
 from .learning import logistic, sigmoid
 
 #: The kinds, in the order in which spans are listed; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "email_spelt", "phone_local", "iban", "ssn", "name")
+KINDS = ("email", "ip", "card", "phone", "email_spelt", "phone_local", "iban", "ssn", "name", "card_split", "phone_split", "credential")
 BASE = 4
+#: The kind whose labelers a kind shares: what makes a good card or phone number doesn't depend on where it was found.
+FAMILY = np.array([KINDS.index({"email_spelt": "email", "phone_local": "phone", "card_split": "card", "phone_split": "phone"}.get(k, k)) for k in KINDS])
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,19 +38,27 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SPELT = re.compile(r"(?: ?[\[(]at[\])] ?)([A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+)+)")
 PHONE_LOCAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+DIGIT = re.compile(r"[0-9]")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+PHONE_SPLIT = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
+CARD_SPLIT = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
+TOKEN, TOKEN_LEAST = re.compile(r"[A-Za-z0-9_-]+"), 16
+TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 NAME = re.compile(r"[A-ZÀ-Þ][a-zß-ÿ]+ [A-ZÀ-Þ][a-zß-ÿ]+")
 
 # Words that speak for or against a kind, and gazetteers of common first names and address endings.
 FOR = {
     "email": "mail email e-mail contact write reach address correo courriel", "email_spelt": "mail email e-mail contact write reach address", "ip": "ip host server address client login from addr", "card": "card visa mastercard amex credit debit carte karte tarjeta payment",
     "phone": "phone tel telephone call mobile cell fax whatsapp telefon teléfono téléphone", "phone_local": "phone tel telephone call mobile cell fax whatsapp telefon teléfono téléphone", "iban": "iban account bank konto compte cuenta", "ssn": "ssn social security insurance", "name": "mr mrs ms dr name named called herr frau madame monsieur señor señora dear",
+    "credential": "token secret password passwd pwd key apikey api auth credential bearer access",
 }
-AGAINST = frozenset("version release build order item ref reference isbn doi section chapter id serial model part figure table hash commit invoice".split())
+FOR |= {"card_split": FOR["card"], "phone_split": FOR["phone"]}
+AGAINST = frozenset("version release build order item ref reference isbn doi section chapter id serial model part figure table hash commit invoice sha sha1 sha256 md5 checksum digest etag revision uuid guid".split())
 NAMES = frozenset("james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen anna maria jose juan carlos luis pierre jean marie claude hans klaus peter petra sabine jürgen monika camille antoine sofia lucia pablo emma olivia noah liam lucas paul laura julia daniel mark george helen alice".split())
 ENDINGS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl be ch at us ca au in jp cn br ru eu dev app".split())
 LABELERS = ("form", "check", "before", "against", "gazetteer", "variety")
 NEAR = re.compile(r"[^\W\d_]+")
+ASSIGNED, LONG_WORD = re.compile(r"[=:][ \t]*[\"'`]?$|[\"'`]$"), re.compile(r"[a-z]{6}|[A-Z]{6}|[0-9]{10}")
 
 
 def luhn(digits: str) -> bool:
@@ -90,6 +103,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def wider_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
+    for m in CARD.finditer(text):  # what the base pattern takes for more digits than it is, or for other ones
+        if len(d := _digits(m[0])) > 19 or not luhn(d):
+            out += [("card_split", x.start(), x.end()) for x in CARD_SPLIT.finditer(text, m.start(), m.end())]
+    if "+" in text:
+        for m in PHONE.finditer(text):
+            if not 8 <= len(_digits(m[0])) <= 15:
+                out += [("phone_split", x.start(), x.end()) for x in PHONE_SPLIT.finditer(text, m.start(), m.end())]
+    at = DIGIT.search(text)
+    while at:  # a token holds a digit, and digits are rare: from each, back to where its token begins
+        a = at.start()
+        while a > 0 and text[a - 1] in TOKEN_CHARS:
+            a -= 1
+        b = TOKEN.match(text, a).end()
+        if b - a >= TOKEN_LEAST and not text[a:b].replace("-", "").isdigit():
+            out.append(("credential", a, b))
+        at = DIGIT.search(text, b)
     if "at)" in text or "at]" in text:
         for m in SPELT.finditer(text):
             a = m.start()
@@ -108,21 +137,25 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     before = [w.lower() for w in NEAR.findall(text[max(0, start - 40) : start])[-3:]]
     after = [w.lower() for w in NEAR.findall(text[end : end + 20])[:1]]
     ending = s.rsplit(".", 1)[-1].lower() if kind == "email" else NEAR.findall(s)[-1].lower() if kind == "email_spelt" and NEAR.findall(s) else ""
-    form = True
+    form = True  # True for, None abstains, False against
     if kind == "email":
-        form = s[0].isalnum() and ".." not in s
+        form = s[0].isalnum() and ".." not in s or None
     elif kind == "ip":
-        form = all(p == "0" or p[0] != "0" for p in s.split("."))
-    elif kind == "card":
-        form = d[0] in "23456" and (" " not in s or len(s.split()) in (4, 5))
+        form = all(p == "0" or p[0] != "0" for p in s.split(".")) or None
+    elif kind in ("card", "card_split"):
+        form = d[0] in "23456" and (" " not in s or len(s.split()) in (4, 5)) or (None if kind == "card" else False)
     elif kind == "phone":
-        form = d[0] != "0" and len(d) >= 10
+        form = d[0] != "0" and len(d) >= 10 or None
     elif kind == "iban":
-        form = len(s.replace(" ", "")) >= 15
+        form = len(s.replace(" ", "")) >= 15 or None
     elif kind == "name":
-        form = False
+        form = None
+    elif kind == "credential":
+        form = bool(ASSIGNED.search(text, max(0, start - 8), start)) or None
     check = 0
-    if kind == "card":
+    if kind == "credential":  # random characters change their kind often and leave no long word
+        check = -1 if len(set(s)) < 8 or LONG_WORD.search(s) else 1
+    elif kind in ("card", "card_split"):
         check = 1 if luhn(d) else -1
     elif kind == "iban":
         turned = s.replace(" ", "")[4:] + s[:4]
@@ -133,17 +166,25 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         check = -1 if d[0] == "0" or s.split(".")[0] in ("127", "255") else 1
     elif kind == "phone_local":
         check = -1 if d[0] in "01" or d[3] in "01" else 1
-    gazetteer = (1 if ending in ENDINGS else -1) if ending else (1 if s.split()[0].lower() in NAMES else 0) if kind == "name" else 0
+    gazetteer = (1 if ending in ENDINGS else -1) if ending else (1 if s.split()[0].lower() in NAMES else -1) if kind == "name" else 0
     known = FOR[kind].split()
-    variety = 0 if not d or kind in ("email", "email_spelt") else -1 if len(set(d)) <= 2 else 1 if len(set(d)) >= 4 else 0
-    return (1 if form else 0, check, 1 if any(w in known for w in before) else 0, -1 if any(w in AGAINST for w in before + after) else 0, gazetteer, variety)
+    variety = 0 if not d or kind in ("email", "email_spelt", "credential") else -1 if len(set(d)) <= 2 else 0
+    return (0 if form is None else 1 if form else -1, check, 1 if any(w in known for w in before) else 0, -1 if any(w in AGAINST for w in before + after) else 0, gazetteer, variety)
+
+
+def shape(span: str) -> int:
+    """What a span is made of, 0 to 26: the thirds that digits, capitals and signs or spaces make of it."""
+    n = len(span)
+    third = lambda k: min(2, 3 * k // n)
+    digits, capitals, plain = sum(map(str.isdigit, span)), sum(map(str.isupper, span)), sum(map(str.isalnum, span))
+    return 9 * third(digits) + 3 * third(capitals) + third(n - plain)
 
 
-FOUND = "id long, spans array<struct<kind:int,start:long,end:long,base:boolean,votes:string,length:int>>"
+FOUND = "id long, spans array<struct<kind:int,start:long,end:long,base:boolean,votes:string,length:int,shape:int>>"
 
 
 def _find(batches):
-    span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("length", pa.int32())])
+    span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("length", pa.int32()), ("shape", pa.int32())])
     for batch in batches:
         rows = []
         for text in texts(batch.column(1)).to_pylist():
@@ -151,9 +192,8 @@ def _find(batches):
             taken = sorted((a, b) for _, a, b in own)
             found = []
             for k, a, b in own + [x for x in wider_spans(text) if not _overlaps(taken, x[1], x[2])]:
-                v, base = votes(text, k, a, b), KINDS.index(k) < BASE
-                if base or max(v) > 0:  # a candidate that nothing speaks for is none
-                    found.append({"kind": KINDS.index(k), "start": a, "end": b, "base": base, "votes": ",".join(map(str, v)), "length": min(7, (b - a) // 5)})
+                v = ",".join(map(str, votes(text, k, a, b)))
+                found.append({"kind": KINDS.index(k), "start": a, "end": b, "base": KINDS.index(k) < BASE, "votes": v, "length": min(7, (b - a) // 5), "shape": shape(text[a:b])})
             rows.append(found)
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.list_(span))], names=["id", "spans"])
 
@@ -168,48 +208,49 @@ def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
 def expectation_maximisation(kind: np.ndarray, vote: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """(probability of being personal data for each pattern, reliability[kind, labeler] of each labeler when it votes).
 
-    Naive Bayes over the labelers, one table for each kind, on patterns with their counts. Starts from the majority, and
-    a prior of ten votes holds that a labeler is right in four of five cases: it settles kinds with few candidates.
+    Naive Bayes over the labelers on patterns with their counts: a prior for each kind, a table of votes for each family
+    of kinds. Starts from the majority, and a prior of ten votes holds that a labeler is right in four of five cases: it
+    settles families with few candidates.
     """
-    p = sigmoid(1.5 * vote.sum(1))
+    p, family = sigmoid(1.5 * vote.sum(1)), FAMILY[kind]
     kinds, n_votes = len(KINDS), vote.shape[1]
-    table_for = np.zeros((kinds, 2, n_votes, 3))
+    tables = np.zeros((kinds, 2, n_votes, 3))
     for _ in range(rounds):
-        prior = np.zeros(kinds)
-        for k in range(kinds):
-            own = kind == k
-            w1, w0 = (count * p)[own], (count * (1 - p))[own]
-            prior[k] = (w1.sum() + 1) / (w1.sum() + w0.sum() + 2)
+        weight = np.stack([count * (1 - p), count * p])
+        totals = np.stack([np.bincount(kind, w, kinds) for w in weight])
+        prior = (totals[1] + 1) / (totals.sum(0) + 2)
+        for v in (-1, 0, 1):
+            # what a labeler that votes v is held to, before it has been seen, if the answer is no and if it is yes
+            held = ((8, 2) if v < 0 else (2, 8)) if v else (10, 10)
             for j in range(n_votes):
-                for v in (-1, 0, 1):
-                    hit = vote[own, j] == v
-                    right, wrong = ((8, 2) if v > 0 else (2, 8)) if v else (10, 10)
-                    table_for[k, 1, j, v + 1] = w1[hit].sum() + right
-                    table_for[k, 0, j, v + 1] = w0[hit].sum() + wrong
-        share = table_for / table_for.sum(-1, keepdims=True)
+                for y in (0, 1):
+                    tables[:, y, j, v + 1] = np.bincount(family, weight[y] * (vote[:, j] == v), kinds) + held[y]
+        share = tables / tables.sum(-1, keepdims=True)
         score = np.log(prior[kind] / (1 - prior[kind]))
         for j in range(n_votes):
-            score = score + np.log(share[kind, 1, j, vote[:, j] + 1] / share[kind, 0, j, vote[:, j] + 1])
+            score = score + np.log(share[family, 1, j, vote[:, j] + 1] / share[family, 0, j, vote[:, j] + 1])
         now = sigmoid(score)
         if np.abs(now - p).max() < 1e-9:
             break
         p = now
+    share = share[FAMILY]
     right = prior[:, None] * share[:, 1, :, 2] + (1 - prior[:, None]) * share[:, 0, :, 0]
     voted = right + prior[:, None] * share[:, 1, :, 0] + (1 - prior[:, None]) * share[:, 0, :, 2]
     return p, right / voted
 
 
-def features(kind: np.ndarray, vote: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return np.concatenate([kind[:, None] == np.arange(len(KINDS)), vote > 0, vote < 0, length[:, None] == np.arange(8)], 1).astype(float)
+def features(kind: np.ndarray, vote: np.ndarray, length: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    return np.concatenate([kind[:, None] == np.arange(len(KINDS)), vote > 0, vote < 0, length[:, None] == np.arange(8), shapes[:, None] // np.array([9, 3, 1]) % 3 == 1, shapes[:, None] // np.array([9, 3, 1]) % 3 == 2], 1).astype(float)
 
 
-def train(patterns: list[tuple[int, str, int, int]]) -> np.ndarray:
-    """The span classifier's weights, from (kind, votes, length, count) of all candidates."""
+def train(patterns: list[tuple[int, str, int, int, int]]) -> np.ndarray:
+    """The span classifier's weights, from (kind, votes, length, shape, count) of all candidates."""
     if not patterns:
-        return np.zeros(len(KINDS) + 2 * len(LABELERS) + 9)
-    kind, vote, length, count = np.array([x[0] for x in patterns]), np.array([[int(v) for v in x[1].split(",")] for x in patterns]), np.array([x[2] for x in patterns]), np.array([x[3] for x in patterns], float)
+        return np.zeros(len(KINDS) + 2 * len(LABELERS) + 15)
+    kind, length, shapes = (np.array([x[i] for x in patterns]) for i in (0, 2, 3))
+    vote, count = np.array([[int(v) for v in x[1].split(",")] for x in patterns]), np.array([x[4] for x in patterns], float)
     p, _ = expectation_maximisation(kind, vote, count)
-    return logistic(features(kind, vote, length), p, count, 1.0)
+    return logistic(features(kind, vote, length, shapes), p, count, 0.1)
 
 
 CHOSEN = "id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -223,10 +264,10 @@ def _choose(weights: np.ndarray):
             more = [(i, s) for i, r in enumerate(rows) for s in r if not s["base"]]
             out = [[(s["kind"], s["start"], s["end"], True) for s in r if s["base"]] for r in rows]
             if more:
-                x = features(np.array([s["kind"] for _, s in more]), np.array([[int(v) for v in s["votes"].split(",")] for _, s in more]), np.array([s["length"] for _, s in more]))
+                x = features(np.array([s["kind"] for _, s in more]), np.array([[int(v) for v in s["votes"].split(",")] for _, s in more]), np.array([s["length"] for _, s in more]), np.array([s["shape"] for _, s in more]))
                 p = sigmoid(np.c_[x, np.ones(len(x))] @ weights)
                 added: dict[int, list[tuple[int, int]]] = {}
-                for (i, s), q in sorted(zip(more, p, strict=True), key=lambda z: (z[0][0], -z[1], z[0][1]["kind"], z[0][1]["start"])):
+                for (i, s), q in sorted(zip(more, p, strict=True), key=lambda z: (z[0][0], z[0][1]["start"] - z[0][1]["end"], -z[1], z[0][1]["kind"], z[0][1]["start"])):
                     taken = added.setdefault(i, [])
                     if q >= 0.5 and not any(a < s["end"] and s["start"] < b for a, b in taken):
                         taken.append((s["start"], s["end"]))
@@ -240,7 +281,7 @@ def _choose(weights: np.ndarray):
 def learn(found: DataFrame) -> np.ndarray:
     """train() on the candidates of all rows, counted by pattern: a few thousand counts at most, whatever the input."""
     each = found.select(F.explode("spans").alias("s"))
-    return train([tuple(r) for r in each.groupBy("s.kind", "s.votes", "s.length").agg(F.count("*").alias("many")).orderBy("kind", "votes", "length").collect()])
+    return train([tuple(r) for r in each.groupBy("s.kind", "s.votes", "s.length", "s.shape").agg(F.count("*").alias("many")).orderBy("kind", "votes", "length", "shape").collect()])
 
 
 def find_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,26 +312,32 @@ def _masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def masked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents with every span of text_col replaced by its kind in angle brackets; null texts stay null.
+    """documents with every span of text_col replaced by its kind in angle brackets, as find_personal_data would find it.
 
-    Texts are masked where they are scanned, with what find_personal_data would learn from the same rows."""
-    bounded_batches(documents.sparkSession)
-    weights = learn(pick(documents, id_col, text_col).mapInArrow(_find, FOUND))
-    choose, names = _choose(weights), documents.columns
-    at = names.index(text_col)
+    Null texts stay null, empty ones empty; repeated rows stay repeated; an empty table gives an empty one; other columns
+    may have any names. Texts are scanned once: rows and candidates wait in the shared folder until all candidates have
+    been counted."""
+    spark, names = documents.sparkSession, documents.columns
+    bounded_batches(spark)
+    spans, at = free_name(documents, "_spans"), names.index(text_col)
+    kind = StructType.fromDDL(FOUND)["spans"].dataType
+
+    def find(batches):
+        for batch in batches:
+            one = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(at)], names=["id", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, next(_find([one])).column(1)], names=[*names, spans])
+
+    written = durable(documents.mapInArrow(find, StructType([*documents.schema.fields, StructField(spans, kind)])))
+    choose = _choose(learn(written.select(F.col(f"`{spans}`").alias("spans"))))
 
     def run(batches):
         for batch in batches:
-            column = batch.column(at)
-            one = pa.RecordBatch.from_arrays([pa.array(range(len(column)), pa.int64()), column], names=["id", "text"])
-            out = []
-            for text, spans in zip(column.to_pylist(), next(choose(_find([one]))).column(1).to_pylist(), strict=True):
-                if spans:
-                    text = _masked(text, sorted((s["start"], s["end"], s["kind"]) for s in spans))
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, column.type) if i == at else c for i, c in enumerate(batch.columns)], names=names)
-
-    return documents.mapInArrow(run, documents.schema)
+            column, own = batch.column(at), batch.column(len(names))
+            chosen = next(choose([pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), own], names=["id", "spans"])])).column(1).to_pylist()
+            out = [_masked(t, sorted((s["start"], s["end"], s["kind"]) for s in found)) if found else t for t, found in zip(column.to_pylist(), chosen, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, column.type) if i == at else c for i, c in enumerate(batch.columns[: len(names)])], names=names)
+
+    return written.mapInArrow(run, documents.schema)
 
 
 def op9_pii(spark, sf_dir):
