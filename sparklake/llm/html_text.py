@@ -1,13 +1,16 @@
 """The main text of web pages by tag-path ratios.
 
-Every text node of a page has a path of tags from the root. For each path the text length and the punctuation of its
-nodes are summed and divided by their number; article text has long, punctuated nodes on few paths, menus and notices
-short, bare ones on others. Both ratios are put back on the nodes in page order, smoothed by a Gaussian, fused as a
-geometric mean and averaged by path again; the paths over a threshold are content. The text is then all of the
-container that holds the content (the article or main element around it, or the lowest element with nearly all of it),
-so that short paragraphs, headings and lists of the article stay; elements that are never article text (menus, forms,
-footers, adverts and the like, by tag, role or class) are left out of both steps. A class that tells a state, such as
-has-sidebar, leaves out nothing that holds most of the content, and no class (or form) all of it.
+Every text node of a page has a path of tags from the root. For each path the text length (without links) and the
+punctuation of its nodes are summed and divided by their number; article text has long, punctuated nodes on few paths,
+menus and notices short, bare ones on others. Both ratios are put back on the nodes in page order, smoothed by a
+Gaussian, fused as a geometric mean and averaged by path again. Elements that are hardly ever article text (menus, forms,
+footers, adverts and the like, by tag, role or class) count for a PRIOR share of that; a class that tells a state, such as
+has-sidebar, takes nothing from what holds most of the content, and no class (or form) from all of it.
+
+A path's score over the page's mean, each node counting by its length (and PRIOR), is held against THRESHOLD. What a node is beyond
+or below it, times its length, is what it adds to its elements: the element to which most is added holds the article, and
+the article or main element around it says how far that goes. Of what is in there, the text of unlikely elements whose
+paths stay below the threshold goes, so that short paragraphs, headings and lists of the article stay.
 """
 
 from __future__ import annotations
@@ -46,9 +49,11 @@ LOOSE = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 POINTS = re.compile(r"[,.;:!?…。，、！？；：]")
 
-#: Share of the mean fused ratio from which a path is content; share of the content that a container must hold; width of
-#: the smoothing kernel in text nodes.
-THRESHOLD, MOST, SIGMA = 0.5, 0.9, 1.0
+#: Share of the page's mean fused ratio from which a path is content; what an unlikely element's nodes count for; width
+#: of the smoothing kernel in text nodes.
+THRESHOLD, PRIOR, SIGMA = 0.75, 0.05, 0.6
+#: Share of the mean by nodes from which a node speaks against a class that would leave it out.
+HELD = 0.2
 KERNEL = np.exp(-0.5 * (np.arange(-3, 4) / SIGMA) ** 2)
 KERNEL /= KERNEL.sum()
 
@@ -57,7 +62,7 @@ class Page:
     """The elements and text nodes of a page: elements by number, the root 0."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.label, self.never, self.hinted = [-1], ["#root"], [""], [False], [False]
+        self.parent, self.tag, self.label, self.never, self.hinted, self.linked = [-1], ["#root"], [""], [False], [False], [False]
         #: whether a hint is one that the content's score can overrule, and whether it only tells a state
         self.soft, self.state = [False], [False]
         #: (element, block, raw text)
@@ -114,6 +119,7 @@ class Page:
         n = len(self.tag)
         self.parent.append(stack[-1])
         self.tag.append(tag)
+        self.linked.append(tag == "a" or self.linked[stack[-1]])
         self.label.append(tag + (f".{words[0]}" if words else ""))
         self.never.append(tag in NEVER or tag == "header" and not self._open["article"] + self._open["main"])
         hard, hints = bool(hidden) or found.get("role", "").lower() in ROLES, [w for w in words if HINT.search(w)]
@@ -164,30 +170,29 @@ def left_out(page: Page, hinted: list[bool]) -> list[bool]:
     return out
 
 
-def scored(page: Page, out: list[bool], path: list[int], solid: list[tuple[int, int, int]]) -> tuple[list[bool], list[float]]:
-    """Whether each of solid's nodes is content, by the tag-path ratios of what isn't left out; the content of each element."""
+def scored(page: Page, out: list[bool], path: list[int], solid: list[tuple[int, int, int]], by_nodes: bool = False) -> tuple[list[float], list[float]]:
+    """The score of each of solid's nodes, by the tag-path ratios, over the page's mean (by length, or by likely nodes
+    alone); what is beyond THRESHOLD in each element."""
     number = {p: i for i, p in enumerate(dict.fromkeys(path[e] for e, _, _ in solid))}
-    of = np.array([number[path[e]] for e, _, _ in solid])
+    of, size = np.array([number[path[e]] for e, _, _ in solid]), np.array([n for _, n, _ in solid], float)
     count = np.bincount(of)
-    allowed = np.array([not out[e] for e, _, _ in solid], float)
-    weight = [0.0] * len(page.tag)
-    if not allowed.any():
-        return [False] * len(solid), weight
+    likely = np.array([PRIOR if out[e] else 1.0 for e, _, _ in solid])
+    linked = np.array([page.linked[e] for e, _, _ in solid])
     fused = np.ones(len(solid))
-    for k in (1, 2):
-        ratio = np.bincount(of, [x[k] for x in solid]) / count
-        wide = np.pad((ratio[of] + (k == 2)) * allowed, 3, mode="edge")
+    for k, ratio in ((0, np.where(linked, 0, size)), (1, np.array([points for _, _, points in solid]) + 1.0)):
+        ratio = np.bincount(of, ratio) / count
+        wide = np.pad(ratio[of] * likely, 3, mode="edge")
         fused *= np.convolve(wide, KERNEL, "valid")
-    score = np.bincount(of, np.sqrt(fused) * allowed) / count
-    chosen = (score >= THRESHOLD * (score * count).sum() / (count * (score > 0)).sum()) & (score > 0)
-    content = (chosen[of] & (allowed > 0)).tolist()
-    # content by element, summed up towards the root
-    for (e, size, _), ok in zip(solid, content, strict=True):
-        if ok:
-            weight[e] += size
+    score = (np.bincount(of, np.sqrt(fused) * likely) / count)[of]
+    part = (likely == 1.0).astype(float) if by_nodes and (likely == 1.0).any() else size * likely
+    score = score * part.sum() / max(1e-9, (score * part).sum())
+    # what is beyond the threshold by element, summed up towards the root
+    weight = [0.0] * len(page.tag)
+    for (e, n, _), x in zip(solid, score.tolist(), strict=True):
+        weight[e] += n * (x - THRESHOLD)
     for e in range(len(weight) - 1, 0, -1):
         weight[page.parent[e]] += weight[e]
-    return content, weight
+    return score.tolist(), weight
 
 
 def main_text(source: str) -> str:
@@ -206,14 +211,24 @@ def main_text(source: str) -> str:
     if not solid:
         return ""
 
+    def held(out: list[bool]) -> tuple[list[float], list[float]]:
+        """The score of the nodes, and the characters in nodes that are content by element."""
+        score, _ = scored(page, out, path, solid, True)
+        weight = [0.0] * n
+        for (e, size, _), x in zip(solid, score, strict=True):
+            weight[e] += size * (x >= HELD and not out[e])
+        for e in range(n - 1, 0, -1):
+            weight[page.parent[e]] += weight[e]
+        return score, weight
+
     def unhint(kinds: list[bool], weight: list[float]) -> None:
-        """Hints of these kinds don't leave out what holds most of the content."""
+        """Hints of these kinds take nothing from what holds most of the content."""
         for e in range(1, n):
             if kinds[e] and weight[e] > 0.5 * weight[0]:
                 page.hinted[e] = False
 
     if any(page.state):
-        unhint(page.state, scored(page, left_out(page, [h and not s for h, s in zip(page.hinted, page.state, strict=True)]), path, solid)[1])
+        unhint(page.state, held(left_out(page, [h and not s for h, s in zip(page.hinted, page.state, strict=True)]))[1])
     for e in range(n):
         if page.tag[e] in ("article", "main", "body") and not nested[e] and not (page.tag[e] == "article" and page.hinted[e]):
             while (e := page.parent[e]) > 0 and page.hinted[e]:
@@ -221,33 +236,32 @@ def main_text(source: str) -> str:
     out = left_out(page, page.hinted)
     if any(h and s for h, s in zip(page.hinted, page.soft, strict=True)):
         # if the hints leave nothing that is content by the score of the whole page, the score decides
-        content, weight = scored(page, left_out(page, [h and not s for h, s in zip(page.hinted, page.soft, strict=True)]), path, solid)
-        if not any(ok and not out[e] for (e, _, _), ok in zip(solid, content, strict=True)) and any(ok and points for (_, _, points), ok in zip(solid, content, strict=True)):
+        free = left_out(page, [h and not s for h, s in zip(page.hinted, page.soft, strict=True)])
+        score, weight = held(free)
+        content = [(e, points) for (e, _, points), x in zip(solid, score, strict=True) if x >= HELD and not free[e]]
+        if all(out[e] for e, _ in content) and any(points for _, points in content):
             unhint(page.soft, weight)
             out = left_out(page, page.hinted)
-    weight = scored(page, out, path, solid)[1]
-    if not weight[0]:
+    if all(out[e] for e, _, _ in solid):
         return ""
-    # the outermost articles, else the outermost main elements
-    for kind in ("article", "main"):
-        within = [False] * n
-        for e in range(1, n):
-            within[e] = within[page.parent[e]] or page.tag[page.parent[e]] == kind
-        roots = {e for e in range(n) if page.tag[e] == kind and weight[e] > 0 and not out[e] and not within[e]}
-        if sum(weight[e] for e in roots) >= 0.5 * weight[0]:
-            break
-    else:
-        top = 0
-        for e in range(1, n):
-            if page.parent[e] == top and weight[e] >= MOST * weight[0] and page.tag[e] not in INLINE and page.tag[e] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
-                top = e
-        roots = {top}
+    score, weight = scored(page, out, path, solid)
+    # the element to which most is added, the lowest of such; the outermost article, else main element around it
+    top = max(range(n), key=lambda e: (weight[e], e))
+    around, e = {"article": 0, "main": 0}, top
+    while e > 0:
+        if page.tag[e] in around and not out[e]:
+            around[page.tag[e]] = e
+        e = page.parent[e]
+    top = around["article"] or around["main"] or top
+    while page.tag[top] in INLINE or page.tag[top] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
+        top = page.parent[top]
+    roots, kept = {top}, {path[e] for (e, _, _), x in zip(solid, score, strict=True) if x >= THRESHOLD}
     inside = [False] * n
     for e in range(n):
         inside[e] = e in roots or e > 0 and inside[page.parent[e]]
     blocks: dict[int, list[str]] = {}
     for e, b, s in nodes:
-        if inside[e] and not out[e]:
+        if inside[e] and (not out[e] or path[e] in kept):
             blocks.setdefault(b, []).append(s)
     return "\n\n".join(t for t in (" ".join("".join(b).split()) for b in blocks.values()) if t)
 
