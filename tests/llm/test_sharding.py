@@ -78,3 +78,41 @@ def test_runs_are_numbered_without_gaps(spark):
     for k in range(3):
         x = sorted(r.slot for r in got if r.shard == k)
         assert x == list(range(len(x)))
+
+
+def test_equal_texts_stay_together_whatever_their_weight(spark, sf_dir):
+    # heavy groups of a tenth to nine tenths of a shard, beside single texts that make up for them
+    rows = [(i, f"group {i % 7} " * 40, "en", f"s{i % 3}") for i in range(7 * 60)] + [(1000 + i, f"single {i} " * (1 + i % 9), "de", "x") for i in range(4000)]
+    got, total = balanced(spark, rows, 8)
+    where = defaultdict(set)
+    for r in got:
+        where[r.text_crc32, r.size].add(r.shard)
+    assert all(len(x) == 1 for x in where.values()) and max(total.values()) <= 1.02 * min(total.values())
+    documents = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    where = defaultdict(set)
+    for r in s.shard_documents(documents, 8).collect():
+        where[r.text_crc32, r.size].add(r.shard)
+    assert all(len(x) == 1 for x in where.values())
+
+
+def test_plans_do_not_grow_with_the_leaves(spark):
+    rows = [(i, f"text {i} " * (1 + i % 5), "en", f"s{i % 3}") for i in range(3000)]
+    got, total = balanced(spark, rows, 300)
+    assert len(total) == 300 and max(total.values()) <= 2 * min(total.values())
+
+
+def test_medians_against_sorting(spark):
+    units = spark.range(2000).selectExpr("id % 3 + 4 AS node", "rand(5) AS size", "rand(6) AS lang", "0D AS source", "shiftrightunsigned(xxhash64(id), 28) AS tie", "1 + id % 11 AS weight")
+    units = spark.createDataFrame(units.collect(), units.schema)
+    dimension = {4: "size", 5: "lang", 6: "source"}
+    rows = units.withColumn("dimension", s.F.element_at(s.F.array(*map(s.F.lit, dimension.values())), (s.F.col("node") - 3).cast("int"))).withColumn("key", s._chosen_key()).collect()
+    for share in (0.0, 0.2, 0.5, 1.0):
+        left = {n: share * sum(r.weight for r in rows if r.node == n) for n in dimension}
+        cut = s.medians(units, dimension, left)
+        for n in dimension:
+            own = sorted((r.key, r.weight) for r in rows if r.node == n)
+            sums = [0]
+            for _, w in own:
+                sums.append(sums[-1] + w)
+            got = sum(w for k, w in own if k <= cut[n])
+            assert abs(got - left[n]) == min(abs(x - left[n]) for x in sums)
