@@ -12,6 +12,7 @@ from ..operators.joins import asof_join, range_join
 from ..operators.validate import accepted, judge_lines, rejected
 from ..schema import from_driver_events
 from ..sources.scratch import scratch
+from ..streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,11 +102,10 @@ def _lines(spark, sf_dir):
     return e.select("event_id", F.concat(F.regexp_replace(body, ',"_":0\\}$', ',"payload":'), F.coalesce("payload", F.lit("null")), F.lit("}")).alias("raw"))
 
 
-@query("SELECT event_id, user_id, event_type AS event_name, ts AS event_ts, props AS payload FROM events WHERE event_id > 0")
+@query("SELECT event_id, user_id, event_type AS event_name, ts AS event_ts, CAST(json(props) AS VARCHAR) AS payload FROM events WHERE event_id > 0")
 def validate_accepted(spark, sf_dir):
-    """Every event goes through the validator as JSON; the payload's spacing is not kept, so it is put back as it was."""
-    good = accepted(judge_lines(_lines(spark, sf_dir)))
-    return good.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz")).withColumn("payload", F.regexp_replace("payload", ":(?! )", ": "))
+    """Every event goes through the validator as JSON; an accepted payload is canonical JSON, without spaces."""
+    return accepted(judge_lines(_lines(spark, sf_dir))).withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
 
 
 @query("SELECT 'validation' AS reason, 'greater_than' AS kind, count(*) AS n FROM events WHERE event_id <= 0 GROUP BY ALL")
@@ -165,10 +165,10 @@ def join_cross_small(spark, sf_dir):
     return table(spark, sf_dir, "region").crossJoin(table(spark, sf_dir, "nation")).select("r_name", "n_name")
 
 
-@query("SELECT p_partkey, q.band FROM part JOIN (VALUES (0, 1000.0, 1200.0), (1, 1100.0, 1500.0), (2, 1500.0, 2500.0)) q(band, lo, hi) ON p_retailprice >= q.lo AND p_retailprice < q.hi")
+@query("SELECT p_partkey, q.band FROM part JOIN (VALUES (0, 900.0, 940.0), (1, 930.0, 975.0), (2, 975.0, 1100.0)) q(band, lo, hi) ON p_retailprice >= q.lo AND p_retailprice < q.hi")
 def join_range(spark, sf_dir):
-    bands = spark.createDataFrame([(0, 1000.0, 1200.0), (1, 1100.0, 1500.0), (2, 1500.0, 2500.0)], "band int, lo double, hi double")
-    return range_join(table(spark, sf_dir, "part"), bands, "p_retailprice", "lo", "hi", 500.0).select("p_partkey", "band")
+    bands = spark.createDataFrame([(0, 900.0, 940.0), (1, 930.0, 975.0), (2, 975.0, 1100.0)], "band int, lo double, hi double")
+    return range_join(table(spark, sf_dir, "part"), bands, "p_retailprice", "lo", "hi", 50.0).select("p_partkey", "band")
 
 
 @query("SELECT p.event_id AS event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v ON p.user_id = v.user_id AND p.ts >= v.ts")
@@ -395,9 +395,9 @@ def fn_array(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(e).cast("long").alias("n"), F.element_at(e, 1).cast("double").alias("head"), F.array_max(e).cast("double").alias("top"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"))
 
 
-@query("SELECT vec_id, CAST(u.i AS BIGINT) AS i, CAST(embedding[u.i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest([1, 2, 3]) AS i) u")
+@query("SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def fn_unnest(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 3))).select("vec_id", (F.col("pos") + 1).cast("long").alias("i"), F.col("col").cast("double").alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding")).select("vec_id", (F.col("pos") + 1).cast("long").alias("i"), F.col("col").cast("double").alias("x"))
 
 
 @query("SELECT r_regionkey, map_extract_value(m, 'name') AS name, s.k AS k FROM (SELECT r_regionkey, MAP {'name': r_name, 'x': 'y'} AS m, {'k': r_regionkey + 1} AS s FROM region)")
@@ -411,6 +411,81 @@ def fn_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.none").alias("none"), F.element_at(F.json_object_keys("props"), 1).alias("first_key"))
 
 
+
+@query("SELECT p_partkey, string_split(p_type, ' ')[1] AS head, CAST(len(string_split(p_type, ' ')) AS BIGINT) AS words, regexp_extract(p_brand, '([A-Za-z]+)#?([0-9]*)', 1) AS name, CAST(levenshtein(p_type, p_brand) AS BIGINT) AS apart, trim('  ' || p_type || ' ') AS trimmed, ltrim('xx' || p_brand, 'x') AS cut, reverse(p_brand) AS turned, starts_with(p_type, 'S') AS s, contains(p_name, 'a') AS a, lower(p_type) AS low, rpad(p_brand, 12, '.') AS padded, repeat('ab', 2) AS twice, CAST(ascii(p_type) AS BIGINT) AS code FROM part")
+def fn_string_more(spark, sf_dir):
+    t, b = F.col("p_type"), F.col("p_brand")
+    words = F.split(t, " ")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", words[0].alias("head"), F.size(words).cast("long").alias("words"), F.regexp_extract(b, "([A-Za-z]+)#?([0-9]*)", 1).alias("name"), F.levenshtein(t, b).cast("long").alias("apart"), F.trim(F.concat(F.lit("  "), t, F.lit(" "))).alias("trimmed"), F.ltrim(F.concat(F.lit("xx"), b), F.lit("x")).alias("cut"),
+        F.reverse(b).alias("turned"), t.startswith("S").alias("s"), F.col("p_name").contains("a").alias("a"), F.lower(t).alias("low"), F.rpad(b, 12, ".").alias("padded"), F.repeat(F.lit("ab"), 2).alias("twice"), F.ascii(t).cast("long").alias("code"),
+    )
+
+
+@query("SELECT p_partkey, round(log10(p_retailprice), 9) AS l10, round(ln(p_size) / ln(2), 9) AS l2, round(exp(p_size / 50.0), 9) AS e, sign(p_size - 25) AS s, CAST(CASE WHEN p_retailprice < 900 THEN 0 WHEN p_retailprice >= 1000 THEN 11 ELSE floor((p_retailprice - 900) / 10) + 1 END AS BIGINT) AS bucket, greatest(p_size, 20) AS hi, least(p_size, 20) AS lo, round(atan2(p_size, 10), 9) AS angle, CAST(p_size & 7 AS BIGINT) AS bits, CAST(p_size // 7 AS BIGINT) AS whole FROM part")
+def fn_math_more(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "round(log10(p_retailprice), 9) AS l10", "round(log(2, p_size), 9) AS l2", "round(exp(p_size / 50.0D), 9) AS e", "sign(p_size - 25) AS s", "width_bucket(p_retailprice, 900, 1000, 10) AS bucket", "greatest(p_size, 20) AS hi", "least(p_size, 20) AS lo", "round(atan2(p_size, 10), 9) AS angle", "CAST(p_size & 7 AS BIGINT) AS bits", "p_size div 7 AS whole")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 MONTH + INTERVAL 3 DAY AS TIMESTAMP) AS later, CAST(last_day(o_orderdate) AS DATE) AS month_end, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, make_date(year(o_orderdate), 1, 1) AS first, CAST(epoch(o_orderdate) AS BIGINT) AS secs FROM orders")
+def fn_date_more(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderdate + make_interval(0, 1, 0, 3) AS later", "last_day(o_orderdate) AS month_end", "CAST(quarter(o_orderdate) AS BIGINT) AS q", "CAST(dayofyear(o_orderdate) AS BIGINT) AS doy", "make_date(year(o_orderdate), 1, 1) AS first", "unix_timestamp(o_orderdate) AS secs")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2)), 4) AS twice, round(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: greatest(a, b)), 6) AS top, CAST(len(list_distinct([label, label, label + 1])) AS BIGINT) AS n, list_contains([1, 2, 3], label) AS few, array_to_string(list_sort([label, 3, 1]), ',') AS joined, CAST(len(embedding[2:5]) AS BIGINT) AS part, CAST(len(flatten([[1, 2], [label]])) AS BIGINT) AS flat FROM embeddings")
+def fn_array_more(spark, sf_dir):
+    e, l = F.transform("embedding", lambda x: x.cast("double")), F.col("label")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.round(F.aggregate(F.transform(e, lambda x: x * 2), F.lit(0.0), lambda a, x: a + x), 4).alias("twice"), F.round(F.reduce(e, F.lit(float("-inf")), lambda a, x: F.greatest(a, x)), 6).alias("top"), F.size(F.array_distinct(F.array(l, l, l + 1))).cast("long").alias("n"), F.array_contains(F.array(F.lit(1), F.lit(2), F.lit(3)), l).alias("few"),
+        F.array_join(F.sort_array(F.array(l, F.lit(3), F.lit(1))).cast("array<string>"), ",").alias("joined"), F.size(F.slice("embedding", 2, 4)).cast("long").alias("part"), F.size(F.flatten(F.array(F.array(F.lit(1), F.lit(2)), F.array(l)))).cast("long").alias("flat"),
+    )
+
+
+@query("SELECT n_nationkey, map_extract_value(m, 'name') AS name, CAST(cardinality(m) AS BIGINT) AS n, array_to_string(list_sort(map_keys(m)), ',') AS keys, map_contains(m, 'key') AS has FROM (SELECT n_nationkey, map_from_entries([{'k': 'name', 'v': n_name}, {'k': 'key', 'v': CAST(n_nationkey AS VARCHAR)}]) AS m FROM nation)")
+def fn_map_more(spark, sf_dir):
+    entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    m = table(spark, sf_dir, "nation").select("n_nationkey", F.map_from_entries(F.array(entry("name", F.col("n_name")), entry("key", F.col("n_nationkey").cast("string")))).alias("m"))
+    return m.select("n_nationkey", F.col("m")["name"].alias("name"), F.size("m").cast("long").alias("n"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.map_contains_key("m", "key").alias("has"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{\"id\":' || event_id || ',\"tags\":[\"' || event_type || '\"]}' AS made FROM events")
+def fn_json_typed(spark, sf_dir):
+    """from_json by a schema, to_json of a struct."""
+    made = F.to_json(F.struct(F.col("event_id").alias("id"), F.array("event_type").alias("tags")))
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k BIGINT").k.alias("k"), made.alias("made"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '^[0-9]-(HIGH|URGENT)') OR o_orderstatus IS NOT DISTINCT FROM nullif(o_orderpriority, o_orderpriority) OR o_orderpriority LIKE '5%' AND o_orderstatus IN ('F', 'P')")
+def filter_patterns(spark, sf_dir):
+    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").where(p.rlike("^[0-9]-(HIGH|URGENT)") | s.eqNullSafe(F.nullif(p, p)) | (p.like("5%") & s.isin("F", "P"))).select("o_orderkey")
+
+
+_SPREAD = "SELECT o_orderkey, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS tile, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_key, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice)"
+
+
+@query(_SPREAD)
+def win_distribution(spark, sf_dir):
+    return views(spark, sf_dir, "orders").sql(_SPREAD)
+
+
+@query()
+def sample_table(spark, sf_dir):
+    """TABLESAMPLE, repeatable."""
+    return views(spark, sf_dir, "events").sql("SELECT event_id FROM events TABLESAMPLE (20 PERCENT) REPEATABLE (3)")
+
+
+@query("SELECT column_name AS col_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END AS data_type FROM (DESCRIBE customer)")
+def describe_table(spark, sf_dir):
+    return views(spark, sf_dir, "customer").sql("DESCRIBE TABLE customer").select("col_name", "data_type")
+
+
+@query()
+def explain_query(spark, sf_dir):
+    """The plan of a query as rows; nothing is run."""
+    return views(spark, sf_dir, "events").sql("EXPLAIN FORMATTED SELECT event_type, count(*) FROM events WHERE event_id = 42 GROUP BY event_type")
+
+
 # ---- reshaping, time windows
 
 
@@ -523,3 +598,29 @@ def stream_ingest(spark, sf_dir):
     settings = Settings.load(environ={}, ingestion={"dlq_dir": f"{folder}/dlq"})
     start(spark, log, settings, f"{folder}/in", f"{folder}/checkpoint", "events", available_now=True).awaitTermination()
     return scan(spark, log).groupBy("event_name").agg(F.count("*").alias("cnt"))
+
+
+#: How late an event may be in stream_late_data, in days, and the hours of its windows.
+LATE, HOURS = 10, 24
+
+
+@query(f"""
+WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_id % 2 = 0 AS early, event_id % 4 = 0 AS first, time_bucket(INTERVAL {HOURS} HOUR, ts, TIMESTAMP '1970-01-01') AS w FROM events),
+m AS (SELECT max(ts) FILTER (first) - INTERVAL {LATE} DAY AS first_mark, max(ts) - INTERVAL {LATE} DAY AS last_mark FROM e)
+SELECT w AS window_start, count(*) AS cnt FROM e, m WHERE (early OR w + INTERVAL {HOURS} HOUR > first_mark) AND w + INTERVAL {HOURS} HOUR <= last_mark GROUP BY w
+""")
+def stream_late_data(spark, sf_dir):
+    """Windows over a stream whose third file comes late: what is behind the first one's watermark is dropped (Spark
+    drops by the mark of the batch before the last), and a window is told once the watermark has passed it."""
+    import time
+
+    folder = scratch(spark, "late")
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("x").alias("event_name"), "event_id")
+    for k, some in enumerate(("event_id % 4 = 0", "event_id % 4 = 2", "event_id % 2 <> 0")):
+        e.where(some).coalesce(1).write.parquet(f"{folder}/in/part={k}")
+        time.sleep(1.1)  # files are taken in the order of their times
+    read = spark.readStream.schema("ts timestamp, event_name string, event_id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    told = windowed_counts(read.withColumnRenamed("ts", "event_ts"), f"{HOURS} hours", late=f"{LATE} days")
+    writer = told.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "cnt")
