@@ -237,8 +237,9 @@ class Validator:
 
 _ERRORS = "array<struct<type:string,loc:array<string>,msg:string>>"
 JUDGED = f"line_no long, raw string, event_id long, user_id long, event_name string, event_ts timestamp, payload string, reason string, errors {_ERRORS}"
-_REST = pa.schema(
-    [("line_no", pa.int64()), ("raw", pa.string()), ("event_id", pa.int64()), ("user_id", pa.int64()), ("event_name", pa.string()), ("event_ts", pa.timestamp("us", tz="UTC")), ("payload", pa.string()), ("reason", pa.string())]
+_STRICT = f"struct<event_id:bigint,user_id:bigint,event_name:string,event_ts:timestamp,payload:string,raw:string,reason:string,errors:{_ERRORS}>"
+_STRICT_ARROW = pa.struct(
+    [("event_id", pa.int64()), ("user_id", pa.int64()), ("event_name", pa.string()), ("event_ts", pa.timestamp("us", tz="UTC")), ("payload", pa.string()), ("raw", pa.string()), ("reason", pa.string())]
     + [("errors", pa.list_(pa.struct([("type", pa.string()), ("loc", pa.list_(pa.string())), ("msg", pa.string())])))]
 )
 
@@ -257,9 +258,10 @@ def parsed(lines: DataFrame, raw: str = "raw") -> DataFrame:
     expressions accept it. The line is parsed as the only element of an array: text after a value shows that way."""
     wrapped = F.concat(F.lit("["), F.col(raw), F.lit("]"))
     one = F.try_parse_json(wrapped)
-    alone = F.when(F.json_array_length(wrapped) == 1, F.try_variant_get(one, "$[0]", "variant"))
     # explode keeps the optimizer from copying the parse into each of the dozen places that look at its result
-    lines = lines.select("*", F.explode(F.array(alone)).alias("_o"))
+    lines = lines.select("*", F.explode(F.array(one)).alias("_a"))
+    alone = F.when(F.try_variant_get("_a", "$[1]", "variant").isNull(), F.try_variant_get("_a", "$[0]", "variant"))
+    lines = lines.select("*", F.explode(F.array(alone)).alias("_o")).drop("_a")
     stamp = F.expr("try_variant_get(_o, '$.event_ts', 'string')")
     name = F.expr("try_variant_get(_o, '$.event_name', 'string')")
     iso = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$"
@@ -276,41 +278,52 @@ def parsed(lines: DataFrame, raw: str = "raw") -> DataFrame:
     return lines.withColumn("_ok", F.coalesce(ok, F.lit(False)))
 
 
-def _strictly(chars: int):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for line, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+def _strictly(chars: int, line_bytes: int):
+    @F.arrow_udf(_STRICT)
+    def run(raws: pa.Array, doubtful: pa.Array, isolated: pa.Array) -> pa.Array:
+        rows = []
+        for raw, doubt, apart in zip(raws.to_pylist(), doubtful.to_pylist(), isolated.to_pylist(), strict=True):
+            if not doubt:
+                rows.append(None)
+                continue
+            size = len(raw.encode("utf-8", "replace"))
+            if apart and size > line_bytes:
+                event, errors, reason = None, [_error("oversize", None, f"{size} bytes of {line_bytes} allowed")], OVERSIZE
+            else:
                 event, errors = strict_event(raw)
-                rows.append({"line_no": line, "raw": truncated(raw, chars), "reason": reason_of(errors) if errors else None, "errors": errors} | (event or {}))
-            yield pa.RecordBatch.from_pylist(rows, _REST)
+                reason = reason_of(errors) if errors else None
+            rows.append({"raw": truncated(raw, chars), "reason": reason, "errors": errors} | (event or {}))
+        return pa.array(rows, _STRICT_ARROW)
 
     return run
 
 
-def judge_lines(lines: DataFrame, settings: Ingestion | None = None, raw: str = "raw", line_no: str | None = None) -> DataFrame:
+def judge_lines(lines: DataFrame, settings: Ingestion | None = None, raw: str = "raw", line_no: str | None = None, isolated: bool = False) -> DataFrame:
     """The columns of JUDGED for every line that isn't blank: an event with a null reason, or a reason with its errors.
 
-    Two objects on one line are malformed. A line without a number has a null one. The table is read twice, once for
-    what the expressions accept and once for the rest, and never shuffled.
+    Two objects on one line are malformed. A line without a number has a null one. The lines are read and parsed once:
+    expressions judge what they accept, and only the others go through the strict parser, in Arrow batches; nothing is
+    shuffled. isolated is for batches that are known to hold a bad line: lines of more than max_line_bytes are then
+    rejected, good or bad, as a batch that is looked at line by line rejects them.
     """
     settings = settings or Ingestion()
     number = F.col(line_no).cast("long") if line_no else F.lit(None).cast("long")
     solid = lines.select(number.alias("line_no"), F.col(raw).cast("string").alias("raw")).where(F.trim("raw", F.lit(" \t\r\n\f\v")) != "")
     seen = parsed(solid)
-    good = seen.where("_ok").select(
-        "line_no",
-        F.lit(None).cast("string").alias("raw"),
-        F.expr("try_variant_get(_o, '$.event_id', 'bigint')").alias("event_id"),
-        F.expr("try_variant_get(_o, '$.user_id', 'bigint')").alias("user_id"),
-        F.expr("try_variant_get(_o, '$.event_name', 'string')").alias("event_name"),
-        F.expr("try_cast(try_variant_get(_o, '$.event_ts', 'string') AS timestamp)").alias("event_ts"),
-        F.when(_kind("payload").startswith("OBJECT"), F.get_json_object("raw", "$.payload")).alias("payload"),
-        F.lit(None).cast("string").alias("reason"),
-        F.array().cast(_ERRORS).alias("errors"),
-    )
-    rest = seen.where("NOT _ok").select("line_no", "raw").mapInArrow(_strictly(settings.dlq_raw_truncate_chars), JUDGED)
-    return good.unionByName(rest)
+    big = F.octet_length("raw") > settings.max_line_bytes if isolated else F.lit(False)
+    sure = F.col("_ok") & ~big
+    own = {
+        "event_id": F.expr("try_variant_get(_o, '$.event_id', 'bigint')"),
+        "user_id": F.expr("try_variant_get(_o, '$.user_id', 'bigint')"),
+        "event_name": F.expr("try_variant_get(_o, '$.event_name', 'string')"),
+        "event_ts": F.expr("try_cast(try_variant_get(_o, '$.event_ts', 'string') AS timestamp)"),
+        "payload": F.when(_kind("payload").startswith("OBJECT"), F.get_json_object("raw", "$.payload")),
+    }
+    known = seen.select("line_no", F.when(~sure, F.col("raw")).alias("_rest"), *(F.when(sure, v).alias(c) for c, v in own.items()))
+    known = known.withColumn("_strict", _strictly(settings.dlq_raw_truncate_chars, settings.max_line_bytes)("_rest", F.col("_rest").isNotNull(), F.lit(isolated)))
+    strict = F.col("_rest").isNotNull()
+    judged = [F.when(strict, F.col(f"_strict.{c}")).otherwise(F.col(c)).alias(c) for c in own]
+    return known.select("line_no", F.col("_strict.raw").alias("raw"), *judged, F.col("_strict.reason").alias("reason"), F.coalesce(F.col("_strict.errors"), F.array().cast(_ERRORS)).alias("errors"))
 
 
 def accepted(judged: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,30 +20,55 @@ class StreamIngest:
 
     The flush id is the stream's id with the batch number. A batch that is run again after a crash rewrites its dead
     letters, which are filed under the flush id, and finds its rows committed. The breaker counts what the log and the
-    dead-letter folder hold for this stream, so a restart doesn't forget.
+    dead-letter folder hold for this stream: the folder is read once, by the first batch after a start, and counted on
+    from there, so a restart doesn't forget and no batch reads the letters of those before.
     """
 
     def __init__(self, spark: SparkSession, log: SnapshotLog, settings: Settings, source: str, stream_id: str):
         self.spark, self.log, self.settings, self.source, self.stream_id = spark, log, settings, source, stream_id
         self.folder = f"{settings.ingestion.dlq_dir.rstrip('/')}/stream={stream_id}"
+        self._bad: dict[str, int] | None = None
 
     def batch(self, lines: DataFrame, batch_id: int) -> None:
         flush_id = f"{self.stream_id}-{batch_id}"
         if self.log.replay(flush_id) is not None:
             return
-        judged = judge_lines(lines, self.settings.ingestion).persist()
+        limits = self.settings.ingestion
+        judged = judge_lines(lines, limits).persist()
         try:
+            bad, good = self._count(judged)
+            # a batch with a bad line is looked at line by line: then long lines are rejected too
+            if bad and not lines.where(F.octet_length("raw") > limits.max_line_bytes).isEmpty():
+                judged.unpersist()
+                judged = judge_lines(lines, limits, isolated=True).persist()
+                bad, good = self._count(judged)
+            known = self._letters()
             write_rejects(rejected(judged), self.folder, flush_id, self.source)
-            counts = {r.bad: r.n for r in judged.groupBy(F.col("reason").isNotNull().alias("bad")).agg(F.count("*").alias("n")).collect()}
-            self._trip(counts.get(False, 0))
+            known[flush_id] = bad
+            self._trip(good)
             append_frame(self.log, accepted(judged), flush_id, self.settings.buffer)
         finally:
             judged.unpersist()
 
+    @staticmethod
+    def _count(judged: DataFrame) -> tuple[int, int]:
+        counts = {r.bad: r.n for r in judged.groupBy(F.col("reason").isNotNull().alias("bad")).agg(F.count("*").alias("n")).collect()}
+        return counts.get(True, 0), counts.get(False, 0)
+
+    def _letters(self) -> dict[str, int]:
+        """Rejects of this stream by flush id."""
+        if self._bad is None:
+            try:
+                read = self.spark.read.schema("value string, flush string").option("basePath", self.folder).text(self.folder)
+                self._bad = {r.flush: r.n for r in read.groupBy("flush").agg(F.count("*").alias("n")).collect()}
+            except AnalysisException:  # there is no folder yet
+                self._bad = {}
+        return self._bad
+
     def _trip(self, arriving: int) -> None:
         s = self.settings.ingestion
         kept = sum(rows for flush, (_, rows) in self.log.state().flushes.items() if flush.startswith(f"{self.stream_id}-"))
-        bad = self.spark.read.text(self.folder).count()
+        bad = sum(self._letters().values())
         checked = kept + arriving + bad
         if checked >= s.reject_min_sample and bad / checked > s.max_reject_ratio:
             raise DeadLetterThresholdExceeded("too many records are rejected", checked=checked, rejected=bad, limit=s.max_reject_ratio, accepted_not_written=arriving)

@@ -56,3 +56,18 @@ def test_joins_against_brute_force(spark):
     ranges = [(0.0, 3.5, 1), (3.0, 3.0, 2), (-2.5, 17.0, 3), (5.0, 4.0, 4)]
     got = range_join(spark.createDataFrame(points, "x double"), spark.createDataFrame(ranges, "lo double, hi double, r int"), "x", "lo", "hi", 2.0)
     assert sorted((r.x, r.r) for r in got.collect()) == sorted((x, r) for (x,) in points for lo, hi, r in ranges if lo <= x < hi)
+
+
+def test_long_lines_and_a_breaker_that_remembers(engine, spark):
+    import dataclasses
+
+    s = dataclasses.replace(engine.settings, ingestion=dataclasses.replace(engine.settings.ingestion, reject_min_sample=1000, max_line_bytes=256))
+    long = lines([5]).strip()[:-1] + ', "payload": {"x": "' + "y" * 300 + '"}}'
+    h = StreamIngest(spark, engine.log, s, "x", "o1")
+    h.batch(spark.createDataFrame([(long,)], "raw string"), 0)  # no bad line, so nothing is looked at line by line
+    h.batch(spark.createDataFrame([(long,), ("bad",), (lines([6]).strip(),)], "raw string"), 1)
+    assert sorted(r.event_id for r in scan(spark, engine.log).collect()) == [5, 6]
+    letters = spark.read.json(h.folder).collect()
+    assert sorted(r.reason for r in letters) == ["malformed_json", "oversize"] and h._letters() == {"o1-0": 0, "o1-1": 2}
+    again = StreamIngest(spark, engine.log, s, "x", "o1")
+    assert sum(again._letters().values()) == 2
