@@ -38,7 +38,6 @@ class Runtime:
     soft_memory_bytes: int = bound(440 * MIB, 32 * MIB)
     memory_ceiling_bytes: int = bound(500 * MIB, 64 * MIB)
     cpu_threads: int = bound(2, 1)
-    io_threads: int = bound(4, 1, 64)
     allow_concurrent_query_during_flush: bool = False
 
 
@@ -73,7 +72,6 @@ class Compaction:
     max_input_files_per_run: int = bound(64, 2, 256)
     small_file_threshold_bytes: int = bound(64 * MIB, MIB)
     target_file_bytes: int = bound(128 * MIB, 8 * MIB, 512 * MIB)
-    read_batch_rows: int = bound(100_000, 10_000, 500_000)
 
 
 @dataclass(frozen=True)
@@ -97,20 +95,25 @@ class Catalog:
 
 @dataclass(frozen=True)
 class Query:
-    memory_bytes: int = bound(192 * MIB, 32 * MIB)
+    result_bytes: int = bound(GIB, 32 * MIB)
     threads: int = bound(2, 1, 16)
     temp_dir: str = "/tmp/sparklake/tmp"
     arrow_batch_rows: int = bound(100_000, 1)
 
 
-@dataclass(frozen=True)
-class Benchmarks:
-    rows: int = bound(5_000_000, 100_000)
-    small_file_rows: int = bound(10_000, 1_000)
-    warmups: int = bound(1, 0)
-    runs: int = bound(5, 1)
-    seed: int = 20260930
-    out_dir: str = "bench-out"
+def _local_tmp(path: str) -> bool:
+    return re.sub(r"^file:/*", "/", path).startswith("/tmp")
+
+
+#: What must hold between settings, each with what is said if it doesn't. The driver holds staged rows up to the hard limit
+#: and one pushed batch beside them; all other memory is Spark's.
+RULES: tuple[tuple[str, Any], ...] = (
+    ("the warehouse, the dead letters and spilled rows must not be under /tmp in prod", lambda s: s.runtime.env != "prod" or not any(map(_local_tmp, (s.catalog.warehouse, s.ingestion.dlq_dir, s.query.temp_dir)))),
+    ("rows must be flushed before they are refused: the soft limit must be below the hard one", lambda s: s.runtime.soft_memory_bytes < s.runtime.hard_memory_bytes),
+    ("a pushed batch must fit between the hard limit and the ceiling", lambda s: s.runtime.hard_memory_bytes + s.ingestion.max_batch_bytes <= s.runtime.memory_ceiling_bytes),
+    ("a commit must not wait longer at first than at last", lambda s: s.catalog.commit_backoff_base_seconds <= s.catalog.commit_backoff_max_seconds),
+    ("a compacted file must not be smaller than an eighth of a flush", lambda s: 8 * s.compaction.target_file_bytes >= s.buffer.max_bytes),
+)
 
 
 @dataclass(frozen=True)
@@ -122,26 +125,13 @@ class Settings:
     storage: Storage = field(default_factory=Storage)
     catalog: Catalog = field(default_factory=Catalog)
     query: Query = field(default_factory=Query)
-    benchmarks: Benchmarks = field(default_factory=Benchmarks)
 
     def __post_init__(self) -> None:
         for section in fields(self):
             _check(section.name, getattr(self, section.name))
-        r, b, c, k = self.runtime, self.buffer, self.compaction, self.catalog
-        if not r.soft_memory_bytes < r.hard_memory_bytes <= r.memory_ceiling_bytes:
-            raise ConfigurationError("soft < hard <= ceiling must hold for the memory limits")
-        peak = (120 + 16 + 40) * MIB + b.max_bytes * 9 // 4
-        if peak > r.memory_ceiling_bytes:
-            raise ConfigurationError("a flush could need more memory than the ceiling", peak=peak, ceiling=r.memory_ceiling_bytes)
-        if c.target_file_bytes < b.max_bytes // 8:
-            raise ConfigurationError("target_file_bytes must be at least an eighth of the buffer's max_bytes")
-        if k.commit_backoff_base_seconds > k.commit_backoff_max_seconds:
-            raise ConfigurationError("the first backoff must not be longer than the longest")
-        if r.env == "prod":
-            local = (("ingestion.dlq_dir", self.ingestion.dlq_dir), ("query.temp_dir", self.query.temp_dir), ("catalog.warehouse", k.warehouse))
-            for name, path in local:
-                if re.sub(r"^file:/*", "/", path).startswith("/tmp"):
-                    raise ConfigurationError(f"{name} must not be under /tmp in prod", path=path)
+        broken = [said for said, holds in RULES if not holds(self)]
+        if broken:
+            raise ConfigurationError("; ".join(broken))
 
     @property
     def table_path(self) -> str:

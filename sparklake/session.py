@@ -23,7 +23,9 @@ CONF = {
 def session(settings: Settings | None = None, app: str = "sparklake", master: str | None = None, **conf: str) -> SparkSession:
     """The session, made if there is none. Without a master of the cluster's own it is local, with the settings' threads.
 
-    Memory and spill folders are Spark's to manage: give spark.driver.memory and spark.local.dir in conf."""
+    query.result_bytes bounds what a query may bring to the driver, query.temp_dir is where a local session spills, and
+    query.threads how many tasks a shuffle of a local one has. Executors' memory is Spark's to manage: a query's own
+    memory limit has no counterpart but spark.executor.memory."""
     settings = settings or Settings()
     builder = SparkSession.builder.appName(app)
     if master or "SPARK_MASTER" not in os.environ and not os.environ.get("SPARK_CONF_DIR"):
@@ -32,7 +34,9 @@ def session(settings: Settings | None = None, app: str = "sparklake", master: st
     for key, value in (("endpoint", s.s3_endpoint), ("endpoint.region", s.s3_region), ("access.key", s.s3_access_key.reveal()), ("secret.key", s.s3_secret_key.reveal())):
         if value:
             builder = builder.config(f"spark.hadoop.fs.s3a.{key}", value)
-    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(settings.query.arrow_batch_rows)}
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(settings.query.arrow_batch_rows), "spark.driver.maxResultSize": str(settings.query.result_bytes)}
+    if "SPARK_MASTER" not in os.environ and not os.environ.get("SPARK_CONF_DIR"):
+        own |= {"spark.local.dir": settings.query.temp_dir, "spark.sql.shuffle.partitions": str(settings.query.threads)}
     spark = builder.config(map=CONF | own | conf).getOrCreate()
     harden(spark)
     return spark

@@ -10,7 +10,7 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
-from ..errors import ConfigurationError
+from ..errors import ConfigurationError, EngineCapabilityError
 
 #: Schemes that a table may live under, and what Hadoop calls them.
 SCHEMES = {"": "file", "file": "file", "s3": "s3a", "s3a": "s3a", "hdfs": "hdfs", "viewfs": "viewfs", "abfss": "abfss", "gs": "gs"}
@@ -24,6 +24,10 @@ def spark_path(uri: str) -> str:
     return f"file://{os.path.abspath(p.path or uri)}" if SCHEMES[p.scheme] == "file" else f"{SCHEMES[p.scheme]}://{p.netloc}{p.path}"
 
 
+#: Schemes whose file systems rename in one step and not onto an existing file.
+ATOMIC_RENAME = frozenset({"file", "hdfs", "viewfs", "abfss"})
+
+
 class Store:
     """The few operations that a table needs, under one root."""
 
@@ -57,15 +61,47 @@ class Store:
             finally:
                 staged.unlink()
         fs, path = self._hadoop(name)
+        if self.root.split(":")[0] in ATOMIC_RENAME:
+            return self._put_by_rename(fs, path, data)
+        return self._put_on_condition(fs, path, data)
+
+    def _put_by_rename(self, fs, path, data: bytes) -> bool:
+        """The file is written beside its place, whole, and then renamed to it unless there is one by then."""
+        jvm = self.spark._jvm
+        staged = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}")
+        out = fs.create(staged, False)
+        out.write(bytearray(data))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
+        no_options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            out = fs.create(path, False)
+            context.rename(staged, path, no_options)
+            return True
         except Exception as e:
+            fs.delete(staged, False)
             if "FileAlreadyExists" in str(e):
                 return False
             raise
-        out.write(bytearray(data))
-        out.close()
-        return True
+
+    def _put_on_condition(self, fs, path, data: bytes) -> bool:
+        """An object store shows a file when it is closed, and refuses it then if there is one: by a conditional write
+        that must be had. A store that knows no such write is refused, since two writers could both believe they won."""
+        try:
+            out = fs.createFile(path).overwrite(False).must("fs.option.create.conditional.overwrite", True).build()
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            if any(x in f"{type(e).__name__} {e}" for x in ("IllegalArgument", "UnsupportedOperation")):
+                raise EngineCapabilityError("the store has no conditional writes, which commits need", root=self.root) from e
+            raise
+        try:
+            out.write(bytearray(data))
+            out.close()
+            return True
+        except Exception as e:
+            if any(x in str(e) for x in ("FileAlreadyExists", "PreconditionFailed", "412", "RemoteFileChanged")):
+                return False
+            raise
 
     def get(self, name: str) -> bytes:
         if self.local:
@@ -83,7 +119,7 @@ class Store:
             d = self.local / folder
             return sorted(p.name for p in d.iterdir() if p.is_file() and not p.name.startswith(".")) if d.is_dir() else []
         fs, path = self._hadoop(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile()) if fs.exists(path) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile() and not s.getPath().getName().startswith(".")) if fs.exists(path) else []
 
     def delete(self, name: str) -> None:
         """Deletes a file or a folder with all in it, if it is there."""
