@@ -13,6 +13,7 @@ back as a small table that units are joined with, so plans don't grow with the n
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -72,8 +73,12 @@ def _chosen_key() -> Column:
 
 
 def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of the driver's, of one row a node or heavy unit at most."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A table of the driver's, of one row a node or heavy unit at most. It travels as a literal, which no Python worker
+    has to read."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(", "))
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>"))))
 
 
 def medians(units: DataFrame, dimension: dict[int, str], left: dict[int, float]) -> dict[int, int]:
@@ -222,7 +227,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, id_col: str = "doc_id
     leaf = _local(spark, list(tree.leaves.items()), "node long, shard int")
     units = units.join(leaf, "node").select(*key, "part", "shard")
     # heavy and dealt texts are few, whatever their rows: they are broadcast, so that no task joins all rows of one text
-    few = spark.createDataFrame([(h.text_hash, h.bytes, 0, tree.leaves[h.node]) for h in heavy], "text_hash long, bytes long, part long, shard int")
+    few = _local(spark, [(h.text_hash, h.bytes, 0, tree.leaves[h.node]) for h in heavy], "text_hash long, bytes long, part long, shard int")
     few = few.unionByName(units.join(cut_up, key, "left_semi")) if dealt else few
     known = few.select(*key).distinct().withColumn("few", F.lit(True))
     rows = meta.join(F.broadcast(known), key, "left").join(cut_up, key, "left").withColumn("part", part)
