@@ -1,5 +1,9 @@
 """The corpus pipeline: documents that aren't toxic, one of each near-duplicate group, without benchmark passages and
-personal data, as tokens."""
+personal data, as tokens.
+
+In every stage null and empty texts stay as they are, rows with a null id stay unless their text sends them away, repeated
+rows share one fate, an empty table gives an empty one, and columns beside doc_id, text and n_chars only pass through.
+"""
 
 from __future__ import annotations
 
@@ -52,11 +56,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, one after the other; what each but the last returns is written to the shared folder."""
+    """The stages over documents, one after the other; what each but the last returns is written to the shared folder, and
+    deleted there when the next stage's rows are written. The last written table stays: the result reads it."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _delete(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
