@@ -188,3 +188,74 @@ def test_secrets_finds_passwords_of_any_alphabet(spark):
 def test_long_runs_of_names_end_soon():
     for s in ("password=" * 20_000, "key: " * 20_000, 'token="' * 20_000, "secret" * 20_000, "token " * 20_000 + "=", "key=" + "a," * 50_000, "password:" + " " * 100_000, "pwd=" + ")" * 20_000, 'token="' + "\\" * 50_000):
         secrets.candidates(s)
+
+
+def test_toxicity_beats_a_word_list_by_its_toxic_dictionary(spark, sf_dir):
+    """Held-out labels of the largest tables: better than looking for words of the dictionary, worthless without it."""
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.doc_id in labels]
+    held = [(t or "", labels[k]) for k, t in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    learnt = [(t or "", labels[k]) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    model = toxicity.fit([t for t, y in learnt if y], [t for t, y in learnt if not y])
+    y = np.array([y for _, y in held])
+
+    def judged(m):
+        far = toxicity.Distance(m)
+        x = far.features(far.counts(toxicity.Windows([t for t, _ in held])))
+        return learning.sigmoid(np.c_[x, np.ones(len(x))] @ np.array(m["weights"]))
+
+    score = judged(model)
+    words = {w for w in re.findall(r"[^\W\d_]{4,}", model["toxic"].decode(errors="ignore"))}
+    listed = np.array([any(w in words for w in toxicity.WORD.findall(t.lower())) for t, _ in held])
+    right = ((score >= 0.5) == y).mean()
+    assert right >= 0.965 and right > (listed == y).mean() and score[(y == 0)].max() <= 1 and ((score >= 0.5) & (y == 0)).sum() <= 0.01 * (y == 0).sum()
+    assert ((score >= 0.5) & (y == 1)).sum() >= 0.75 * y.sum()
+    # with a piece of the ordinary dictionary in its place, nothing tells
+    blind = judged(model | {"toxic": model["ordinary"][-len(model["toxic"]) :]})
+    assert ((blind >= 0.5) & (y == 1)).sum() <= 0.2 * y.sum()
+
+
+def test_the_dictionaries_come_from_the_trainer():
+    rows = made_up(600)
+    toxic, ordinary = [t for _, t, y in rows if y], [t for _, t, y in rows if not y]
+    model = toxicity.fit(toxic, ordinary)
+    assert model["ordinary"].startswith(b"\x37\xa4\x30\xec")  # a trained dictionary's magic number
+    assert set(model["thresholds"]) <= set(range(1, toxicity.FAR + 1)) and len(model["levels"]) == toxicity.FAR + 1
+
+
+def test_windows_hold_two_words():
+    w = toxicity.Windows(["One two, three!", "", "solo", "12 34", "a b"])
+    assert [w.bytes[a:b] for a, b in zip(w.begin, w.end, strict=True)] == [b" one two ", b" two three ", b" solo ", b" a b "]
+    assert w.document.tolist() == [0, 0, 2, 4] and w.documents == 5
+    known = np.unique(toxicity.packed(np.frombuffer(b"e two ", np.uint8)))
+    which, window = w.holding(w.runs(known)[0])
+    assert which.tolist() == [0] and window.tolist() == [0]
+
+
+def test_personal_data_that_only_the_method_finds(spark, sf_dir):
+    """On the documents: every access token, and the numbers that the base patterns run past; no number without a checksum."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    added = {(r.id, s.kind, s.start, s.end) for r in pii.find_personal_data(documents).collect() for s in r.spans if not s.base}
+    tokens, others = set(), set()
+    for r in documents.collect():
+        tokens |= {(r.doc_id, "credential", *m.span(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")}
+        base = [(a, b) for _, a, b in brute(r.text or "")]
+        others |= {(r.doc_id, m.start(), m.end()) for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", r.text or "") if not pii.luhn(m[0]) and not any(a < m.end() and m.start() < b for a, b in base)}
+    assert tokens and others and tokens <= added and not {(k, a, b) for k, _, a, b in added} & others
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    assert all(kind == "phone_split" or kind == "card_split" and pii.luhn(pii._digits(texts[k][a:b])) for k, kind, a, b in added - tokens)
+
+
+def test_planted_personal_data_and_what_looks_like_it(spark):
+    rng = random.Random(5)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    card = next(c for c in ("4111111111%06d" % rng.randrange(10**6) for _ in range(1000)) if pii.luhn(c))
+    good = [(f'the token = "{hexa(40)}" was left here', "credential") for _ in range(40)] + [(f"call +1 (826) 555-{k:04d} 190.137.22.204 now", "phone_split") for k in range(10)] + [(f"my card {card} 1234 ends", "card_split") for _ in range(10)]
+    bad = [f"see commit {hexa(40)} of the build" for _ in range(40)] + [f"order {4111111111111112 + 10 * k} was sent" for k in range(40)] + [f"Some Words{chr(97 + k % 26)} stand here" for k in range(40)]
+    rows = list(enumerate([t for t, _ in good] + bad))
+    found = {r.id: [s.kind for s in r.spans if not s.base] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(kind in found[k] for k, (_, kind) in enumerate(good))
+    false = sum(bool(found[len(good) + k]) for k in range(len(bad)))
+    assert hits >= 0.9 * len(good) and false <= 0.1 * len(bad)

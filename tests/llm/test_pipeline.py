@@ -38,3 +38,28 @@ def test_odd_rows(spark, sf_dir, odd, none):
         for _, stage in cp.STAGES[1:]:
             docs = stage(spark, docs, sf_dir)
         assert docs.count() <= df.count()
+
+
+def test_every_stage_on_odd_rows(spark, sf_dir, odd, none, tmp_path):
+    """All five stages, toxicity too, with labels for the odd documents; and the whole run on an empty table."""
+    import shutil
+
+    docs = odd.withColumnRenamed("spans", "n_chars").drop("id")
+    folder = str(tmp_path / "odd")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, None), (None, 1, 1), (5, None, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+    shutil.copy(f"{sf_dir}/benchmark.parquet", f"{folder}/benchmark.parquet")
+    kept = docs
+    for name, stage in cp.STAGES:
+        before, kept = kept, stage(spark, kept, folder)
+        if name == "toxicity":
+            assert kept.count() == docs.count() and kept.columns == docs.columns
+        if name == "ngram_jaccard_join":  # rows 1, 1 and 2 are copies: the smallest id stays, as often as it was there
+            assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == sorted((x is None, x) for x in (1, 1, 3, 4, None, 5, 6, 7))
+        if name in ("pii", "sentencepiece"):
+            assert kept.count() == before.count()
+    empty = str(tmp_path / "empty")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{empty}/labels.parquet")
+    shutil.copy(f"{sf_dir}/benchmark.parquet", f"{empty}/benchmark.parquet")
+    assert cp.run(spark, empty).count() == 0
