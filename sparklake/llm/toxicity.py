@@ -223,7 +223,7 @@ class Distance:
 
 def fit(toxic: list[str], ordinary: list[str]) -> dict:
     """What scoring needs: the two dictionaries, what a distance is worth, and the weights. Without toxic or ordinary
-    texts all score 0."""
+    texts, or where none of the toxic dictionary's segments tells, nothing is known and all score 0."""
     model = {"ordinary": b"", "toxic": b"", "levels": [0.0] * (FAR + 1), "thresholds": [1, 1], "weights": [0.0] * 6 + [-30.0]}
     if not toxic or not ordinary:
         return model
@@ -232,6 +232,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> dict:
     found = trained(_all(bad), TOXIC_BYTES)
     found = found[len(found) % SEGMENT :]
     model["toxic"] = b"".join(telling(list(dict.fromkeys(found[i : i + SEGMENT] for i in range(0, len(found), SEGMENT))), model["ordinary"], bad, good))
+    if not model["toxic"]:
+        return model
     far = Distance(model)
     x, y = far.counts(bad), far.counts(good)
     a, b = x.sum(0) + 1, y.sum(0) + 1
