@@ -180,7 +180,10 @@ def join_asof(spark, sf_dir):
 
 @query("SELECT c.c_custkey, t.o_orderkey FROM customer c JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t ON true")
 def join_lateral(spark, sf_dir):
-    return views(spark, sf_dir, "customer", "orders").sql("SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
+    """Orders are ranked within their customer before the join: Spark numbers the rows of a correlated ORDER BY ... LIMIT in
+    whatever order its shuffle delivers them."""
+    ranked = "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST) AS place FROM orders"
+    return views(spark, sf_dir, "customer", "orders").sql(f"SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM ({ranked}) WHERE place = 1 AND o_custkey = c.c_custkey) t")
 
 
 # ---- aggregates

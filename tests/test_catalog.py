@@ -43,6 +43,22 @@ def test_matches_oracle(spark, sf_dir, oracle, name):
     assert got == rows(columns, found.fetchall())
 
 
+def test_lateral_join_heeds_its_order_wherever_rows_come_from(spark, tmp_path):
+    """Sorts that spill deliver rows of equal keys in any order, as remote shuffles do; ties and nulls are the oracle's too."""
+    con, threshold = duckdb.connect(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    con.execute("CREATE TABLE customer AS SELECT CASE WHEN k < 42 THEN k % 40 END AS c_custkey FROM range(43) t(k)")
+    con.execute("CREATE TABLE orders AS SELECT CASE WHEN k % 13 > 0 THEN k END AS o_orderkey, CASE WHEN k % 17 > 0 THEN k % 37 END AS o_custkey, CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE ELSE k * 7919 % 1009 END * CASE WHEN k % 37 % 2 = 0 THEN 1 END AS o_totalprice FROM range(20000) t(k)")
+    for t in ("customer", "orders"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    conf = spark.sparkContext._jsc.sc().env().conf()
+    conf.set(threshold, "100")
+    try:
+        got = catalog.QUERIES["join_lateral"](spark, str(tmp_path)).collect()
+    finally:
+        conf.remove(threshold)
+    assert rows(["c_custkey", "o_orderkey"], got) == rows(["c_custkey", "o_orderkey"], con.execute(catalog.ORACLES["join_lateral"]).fetchall())
+
+
 def test_entry_without_the_subpackage(spark):
     """The entry point works when the subpackage and the pipeline are gone."""
     import importlib
