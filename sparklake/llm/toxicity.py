@@ -35,6 +35,9 @@ ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, RUN = 65_536, 32_768, 8, 6
 SAVED, RATIO, SIGMAS = 3, 5.0, 3.5
 #: Shares of the ordinary windows that reach the two thresholds at most; the greatest distance that is told from more.
 SELDOM, RARE, FAR = 0.005, 0.0015, 7
+#: How much is in the driver's memory at once when it learns: windows taken out of their texts, segments that are looked
+#: for, bytes of text that are looked through or hashed.
+BATCH, GROUP, PART = 20_000, 512, 1 << 18
 #: zstandard begins no match in a block's last 8 bytes, so a tail follows the window.
 FRAME, TAIL = b"\x00#frame-of-a-window-0123456789#", bytes(range(128, 136))
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,41 +47,51 @@ class Windows:
     """All windows of some texts: words in lower case, whatever stands between their letters, two by two."""
 
     def __init__(self, documents: list[str]):
-        found = [WORD.findall(t.lower()) for t in documents]
-        n = np.array([len(w) for w in found], np.int64)
-        self.documents, self.bytes = len(found), "".join(f" {' '.join(w)} " for w in found if w).encode()
+        n, parts = np.zeros(len(documents), np.int64), []
+        for i, t in enumerate(documents):
+            if w := WORD.findall(t.lower()):
+                n[i] = len(w)
+                parts.append(f" {' '.join(w)} ".encode())
+        self.documents, self.bytes = len(documents), b"".join(parts)
         self.data = np.frombuffer(self.bytes, np.uint8)
         # a text of n words has n + 1 spaces; its windows begin at all but the last two, or at the first of two
-        space, has = np.flatnonzero(self.data == 32), n > 0
+        kind = np.int32 if len(self.data) < 1 << 31 else np.int64
+        space, has = np.flatnonzero(self.data == 32).astype(kind), n > 0
         first, many = (np.cumsum(n + 1) - n - 1 - np.cumsum(~has) + ~has)[has], np.maximum(n[has] - 1, 1)
-        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = np.repeat(first, many) + k
+        at = np.arange(many.sum(), dtype=kind) + np.repeat((first - np.cumsum(many) + many).astype(kind), many)
         self.begin = space[at] if len(at) else at
-        self.end = (space[np.minimum(at + 2, np.repeat(first + n[has], many))] if len(at) else at) + 1
-        self.document = np.repeat(np.flatnonzero(has), many)
+        self.end = (space[np.minimum(at + 2, np.repeat((first + n[has]).astype(kind), many))] if len(at) else at) + 1
+        self.document = np.repeat(np.flatnonzero(has).astype(kind), many)
 
-    def runs(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, index in the sorted known) of every run of RUN bytes that is known."""
-        places, which, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(1 << 18, bool)
+    def parts(self, known: np.ndarray):
+        """runs(), for one PART of the bytes after the other."""
+        bits = np.zeros(1 << 18, bool)
         spot = lambda v: ((v * U(0x9E3779B97F4A7C15)) >> U(46)).astype(np.int64)
         bits[spot(known)] = True
-        for a in range(0, max(0, len(self.data) - RUN + 1), 1 << 20):
-            v = packed(self.data[a : a + (1 << 20) + RUN - 1])
+        for a in range(0, max(0, len(self.data) - RUN + 1), PART):
+            v = packed(self.data[a : a + PART + RUN - 1])
             p = np.flatnonzero(bits[spot(v)])
             k = np.minimum(np.searchsorted(known, v[p]), len(known) - 1)
             ok = known[k] == v[p] if len(known) else np.zeros(len(p), bool)
-            places.append(p[ok] + a)
-            which.append(k[ok])
-        return np.concatenate(places), np.concatenate(which)
+            yield p[ok] + a, k[ok]
+
+    def runs(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, index in the sorted known) of every run of RUN bytes that is known."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *self.parts(known)]
+        return tuple(np.concatenate(some) for some in zip(*found, strict=True))
 
     def holding(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index in position, window) for every window that holds the whole run at a position."""
+        position = position.astype(self.end.dtype)
         low, high = np.searchsorted(self.end, position + RUN), np.searchsorted(self.begin, position, "right")
         many = np.maximum(high - low, 0)
         return np.repeat(np.arange(len(position)), many), np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
 
-    def framed(self, which: np.ndarray) -> list[bytes]:
-        return [FRAME + self.bytes[a:b] + TAIL for a, b in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)]
+    def some(self, which: np.ndarray | None = None):
+        """These windows, or all, in lists of at most BATCH."""
+        for i in range(0, len(self.begin if which is None else which), BATCH):
+            own = slice(i, i + BATCH) if which is None else which[i : i + BATCH]
+            yield [self.bytes[a:b] for a, b in zip(self.begin[own].tolist(), self.end[own].tolist(), strict=True)]
 
 
 def packed(data: np.ndarray) -> np.ndarray:
@@ -91,7 +104,7 @@ def packed(data: np.ndarray) -> np.ndarray:
 
 
 def compressor(content: bytes):
-    """The compressed lengths of framed windows with that content as the dictionary."""
+    """The compressed lengths of windows in their frame, with that content as the dictionary."""
     import zstandard
 
     # raw content: no entropy tables, so that a length counts matches and literals only
@@ -100,60 +113,57 @@ def compressor(content: bytes):
     d.precompute_compress(compression_params=p)
     z = zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def lengths(framed: list[bytes]) -> np.ndarray:
+    def lengths(w: Windows, which: np.ndarray) -> np.ndarray:
         out = [np.zeros(0, np.int64)]
-        for i in range(0, len(framed), 20_000):
-            some = framed[i : i + 20_000]
-            n = np.array([len(b) for b in some], np.uint64)
-            done = z.multi_compress_to_buffer(zstandard.BufferWithSegments(b"".join(some), np.stack([np.cumsum(n) - n, n], 1).tobytes()), threads=1)
+        for some in w.some(which):
+            framed = [FRAME + b + TAIL for b in some]
+            n = np.array([len(b) for b in framed], np.uint64)
+            done = z.multi_compress_to_buffer(zstandard.BufferWithSegments(b"".join(framed), np.stack([np.cumsum(n) - n, n], 1).tobytes()), threads=1)
             out.append(np.array([len(done[k]) for k in range(len(done))], np.int64))
         return np.concatenate(out)
 
     return lengths
 
 
-def trained(windows: list[bytes], size: int) -> bytes:
+def trained(w: Windows, size: int) -> bytes:
     """What zstandard's trainer takes from the distinct windows; their beginnings if they are too few to train on."""
     import zstandard
 
-    windows = list(dict.fromkeys(windows))
+    windows = list(dict.fromkeys(b for some in w.some() for b in some))
     try:
         return zstandard.train_dictionary(size, windows, k=SEGMENT, d=RUN).as_bytes()
     except zstandard.ZstdError:
         return b"".join(windows)[:size]
 
 
-def _all(w: Windows) -> list[bytes]:
-    return [w.bytes[a:b] for a, b in zip(w.begin.tolist(), w.end.tolist(), strict=True)]
-
-
 def telling(segments: list[bytes], ordinary: bytes, bad: Windows, good: Windows) -> list[bytes]:
     """The segments that save SAVED bytes far more often in toxic than in ordinary documents, the best last."""
     base, kept = compressor(ordinary), []
     runs = [packed(np.frombuffer(s, np.uint8)) for s in segments]
-    known, back = np.unique(np.concatenate([*runs, np.zeros(0, U)]), return_inverse=True)
-    owner = np.repeat(np.arange(len(segments)), [len(r) for r in runs])
+    known, owner = np.concatenate([*runs, np.zeros(0, U)]), np.repeat(np.arange(len(segments)), [len(r) for r in runs])
 
     def meet(w: Windows, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(segment, window), by segment, of the pairs of one of some segments and a window that share a run."""
         use = np.isin(owner, some)
-        order = np.argsort(back[use], kind="stable")
-        of, seg = back[use][order], owner[use][order]
-        position, gram = w.runs(known)
-        low, many = np.searchsorted(of, gram), np.searchsorted(of, gram, "right") - np.searchsorted(of, gram)
-        position, at = np.repeat(position, many), np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
-        which, window = w.holding(position)
-        pair = np.unique(seg[at][which] * len(w.begin) + window) if len(window) else np.zeros(0, np.int64)
-        return pair // max(1, len(w.begin)), pair % max(1, len(w.begin))
-
-    plain: dict[int, dict[int, int]] = {id(bad): {}, id(good): {}}
+        looked_for, of = np.unique(known[use], return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        of, seg, pairs, n = of[order], owner[use][order], [np.zeros(0, np.int64)], max(1, len(w.begin))
+        for position, gram in w.parts(looked_for):
+            low, many = np.searchsorted(of, gram), np.searchsorted(of, gram, "right") - np.searchsorted(of, gram)
+            position, at = np.repeat(position, many), np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+            which, window = w.holding(position)
+            pairs.append(np.unique(seg[at][which] * n + window))
+        pair = np.unique(np.concatenate(pairs))
+        return pair // n, pair % n
+
+    plain = {id(w): np.full(len(w.begin), -1, np.int32) for w in (bad, good)}
 
     def documents(w: Windows, k: int, window: np.ndarray, own) -> int:
         """Documents with a window from which segment k saves enough."""
         seen = plain[id(w)]
-        if new := [x for x in window.tolist() if x not in seen]:
-            seen.update(zip(new, base(w.framed(np.array(new))).tolist(), strict=True))
-        saved = np.array([seen[x] for x in window.tolist()], np.int64) - own(w.framed(window))
+        new = window[seen[window] < 0]
+        seen[new] = base(w, new)
+        saved = seen[window] - own(w, window)
         return len(np.unique(w.document[window[saved >= SAVED]]))
 
     def gap(a: int, b: int) -> tuple[float, bool]:
@@ -162,33 +172,38 @@ def telling(segments: list[bytes], ordinary: bytes, bad: Windows, good: Windows)
         return g, g >= np.log(RATIO) and g >= SIGMAS * np.sqrt(1 / x + 1 / y)
 
     def each(w: Windows, some: np.ndarray):
-        seg, window = meet(w, some)
-        cut = np.searchsorted(seg, np.arange(len(segments) + 1))
-        return lambda k: window[cut[k] : cut[k + 1]]
-
-    of, count = each(bad, np.arange(len(segments))), {}
-    for k in range(len(segments)):
+        """Each of some sorted segments with the windows that it meets; those of GROUP segments are held at once."""
+        for i in range(0, len(some), GROUP):
+            group = some[i : i + GROUP]
+            seg, window = meet(w, group)
+            for k, a, b in zip(group.tolist(), np.searchsorted(seg, group), np.searchsorted(seg, group, "right"), strict=True):
+                yield k, window[a:b]
+
+    count = {}
+    for k, met in each(bad, np.arange(len(segments))):
         # what could not tell even if no ordinary document had it is not looked for in those
-        if gap(len(np.unique(bad.document[of(k)])), 0)[1] and gap(a := documents(bad, k, of(k), compressor(ordinary + segments[k])), 0)[1]:
+        if gap(len(np.unique(bad.document[met])), 0)[1] and gap(a := documents(bad, k, met, compressor(ordinary + segments[k])), 0)[1]:
             count[k] = a
-    of = each(good, np.array(sorted(count), np.int64))
-    for k, a in count.items():
-        g, ok = gap(a, documents(good, k, of(k), compressor(ordinary + segments[k])))
+    for k, met in each(good, np.array(sorted(count), np.int64)):
+        g, ok = gap(count[k], documents(good, k, met, compressor(ordinary + segments[k])))
         if ok:
-            kept.append((g * a, segments[k]))
+            kept.append((g * count[k], segments[k]))
     return [s for _, s in sorted(kept)]
 
 
 def fresh(documents: list[str]) -> list[str]:
     """The documents that share none of six minimal hashes of their five-word runs with an earlier one."""
-    gram, row = sets(texts(pa.array(documents, pa.string())), 5)
     seen, drop = set(), set()
-    head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
-    for s in range(6 if len(row) else 0):
-        for r, v in zip(row[head].tolist(), np.minimum.reduceat(mix(gram ^ U(7919 * s + 1)), head).tolist(), strict=True):
-            if (s, v) in seen:
-                drop.add(r)
-            seen.add((s, v))
+    ends = np.cumsum([len(t) for t in documents])
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PART, ends[-1], PART)) + 1, len(documents)]) if documents else [0]
+    for first, after in zip(cuts[:-1], cuts[1:], strict=True):
+        gram, row = sets(pa.array(documents[first:after], pa.large_string()), 5)
+        head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
+        for s in range(6 if len(row) else 0):
+            for r, v in zip((first + row[head]).tolist(), np.minimum.reduceat(mix(gram ^ U(7919 * s + 1)), head).tolist(), strict=True):
+                if (s, v) in seen:
+                    drop.add(r)
+                seen.add((s, v))
     return [t for i, t in enumerate(documents) if i not in drop]
 
 
@@ -205,13 +220,12 @@ class Distance:
         out = np.zeros(len(w.begin), np.int64)
         if len(self.seeds):
             which = np.unique(w.holding(w.runs(self.seeds)[0])[1])
-            framed = w.framed(which)
-            out[which] = np.clip(self.ordinary(framed) - self.toxic(framed), 0, FAR)
+            out[which] = np.clip(self.ordinary(w, which) - self.toxic(w, which), 0, FAR)
         return out
 
     def counts(self, w: Windows) -> np.ndarray:
         """For each document, how many windows are at each distance."""
-        return np.bincount(w.document * (FAR + 1) + self(w), minlength=w.documents * (FAR + 1)).reshape(-1, FAR + 1)
+        return np.bincount(w.document * np.int64(FAR + 1) + self(w), minlength=w.documents * (FAR + 1)).reshape(-1, FAR + 1)
 
     def features(self, h: np.ndarray) -> np.ndarray:
         """Of counts(): the windows' summed log-odds, the windows beyond either threshold as logarithms and shares, and
@@ -228,8 +242,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> dict:
     if not toxic or not ordinary:
         return model
     bad, good = Windows(fresh(toxic)), Windows(fresh(ordinary))
-    model["ordinary"] = trained(_all(good), ORDINARY_BYTES)
-    found = trained(_all(bad), TOXIC_BYTES)
+    model["ordinary"] = trained(good, ORDINARY_BYTES)
+    found = trained(bad, TOXIC_BYTES)
     found = found[len(found) % SEGMENT :]
     model["toxic"] = b"".join(telling(list(dict.fromkeys(found[i : i + SEGMENT] for i in range(0, len(found), SEGMENT))), model["ordinary"], bad, good))
     if not model["toxic"]:

@@ -259,3 +259,27 @@ def test_planted_personal_data_and_what_looks_like_it(spark):
     hits = sum(kind in found[k] for k, (_, kind) in enumerate(good))
     false = sum(bool(found[len(good) + k]) for k in range(len(bad)))
     assert hits >= 0.9 * len(good) and false <= 0.1 * len(bad)
+
+
+def test_toxicity_learns_in_little_memory():
+    """What learning holds at once, beside the texts, is a few bytes for each of theirs."""
+    import tracemalloc
+
+    rows = made_up(6000)
+    toxic, ordinary = [t for _, t, y in rows if y], [t for _, t, y in rows if not y]
+    size = sum(len(t) for _, t, _ in rows)
+    bad, good = toxicity.Windows(toxic), toxicity.Windows(ordinary)
+    segments = list(dict.fromkeys(bad.bytes[i : i + toxicity.SEGMENT] for i in range(0, toxicity.TOXIC_BYTES, toxicity.SEGMENT)))
+
+    def peak(f, *args):
+        tracemalloc.start()
+        try:
+            f(*args)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    steps = {"fresh": (toxicity.fresh, ordinary), "windows": (toxicity.Windows, ordinary), "telling": (toxicity.telling, segments, good.bytes[: toxicity.ORDINARY_BYTES], bad, good)}
+    most = {name: peak(*step) / size for name, step in steps.items()}
+    assert all(m < 7 for m in most.values()), most
+    assert toxicity.fresh([]) == [] and toxicity.fresh(["", "a b c d e f"] * 2) == ["", "a b c d e f", ""]
